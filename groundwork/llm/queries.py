@@ -9,6 +9,40 @@ from .common import table
 SHARDS = [f"shard-{k:02d}" for k in range(64)]
 
 
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+def byte_codec():
+    import public_tokenizers
+
+    from .bpe import Codec
+
+    return Codec.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), byte_codec())
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import Tokenizer, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .host_rules import host_rules
 
@@ -30,6 +64,10 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_vector_dedup": op1_vector_dedup,
+        "op2_byte_bpe": op2_byte_bpe,
+        "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_token_counts": op4_token_counts,
         "op7_host_rules": op7_host_rules,
         "op8_source_mix": op8_source_mix,
         "op10_shard_lookup": op10_shard_lookup,
@@ -100,5 +138,19 @@ select doc_id, slot, string_split('{",".join(lookup_table(SHARDS, slots))}', ','
 """
 
 
+OP1_SQL = r"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) as (select vec_id, vec_id from v union select r.a, p.b from r join p on r.b = p.a),
+c as (select a, min(b) as component_id from r group by a),
+n as (select a, count(*) as n from p group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.component_id, vec_id)::bigint as component_id, vec_id = coalesce(c.component_id, vec_id) as kept
+from embeddings left join c on vec_id = c.a left join n on vec_id = n.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_host_rules": OP7_SQL, "op8_source_mix": OP8_SQL, "op10_shard_lookup": _op10_sql()}
+    return {"op1_vector_dedup": OP1_SQL, "op7_host_rules": OP7_SQL, "op8_source_mix": OP8_SQL, "op10_shard_lookup": _op10_sql()}
