@@ -56,6 +56,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place
 
@@ -70,6 +77,7 @@ def queries() -> dict:
         "op4_token_counts": op4_token_counts,
         "op7_host_rules": op7_host_rules,
         "op8_source_mix": op8_source_mix,
+        "op9_toxicity": op9_toxicity,
         "op10_shard_lookup": op10_shard_lookup,
     }
 
