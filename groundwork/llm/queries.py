@@ -43,6 +43,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality(docs, table(spark, sf_dir, "labels"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .host_rules import host_rules
 
@@ -75,6 +82,7 @@ def queries() -> dict:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_token_counts": op4_token_counts,
+        "op6_quality_model": op6_quality_model,
         "op7_host_rules": op7_host_rules,
         "op8_source_mix": op8_source_mix,
         "op9_toxicity": op9_toxicity,
