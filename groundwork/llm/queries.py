@@ -43,6 +43,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_model import quality
 
@@ -82,6 +88,7 @@ def queries() -> dict:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_simhash_dedup": op3_simhash_dedup,
         "op4_token_counts": op4_token_counts,
+        "op5_pii_surrogates": op5_pii_surrogates,
         "op6_quality_model": op6_quality_model,
         "op7_host_rules": op7_host_rules,
         "op8_source_mix": op8_source_mix,
