@@ -75,18 +75,19 @@ def apportion(parties: DataFrame, votes: str, seats: Column, within: list[str],
     return out.select(*parties.columns, "quota")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, cap: int = 2, block: int = 32, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, cap: int = 2, block: int = 32, seed: int = 42, carried: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` (doc_id, text, source) to doc_id, size, source_size, target, taken.
 
     A null or empty text has size 0 and takes 0; a null source is a source of its own,
     last. Repeated rows are documents of their own (ties in the seeded order go by
     size, so equal rows may swap but the result does not change). An empty table gives
     an empty table. ``taken`` never exceeds ``cap`` times the size. Sources, one row
-    each after the sums, are ranked in one task; documents never are.
+    each after the sums, are ranked in one task; documents never are. ``carried``: further
+    columns of ``docs``, narrow ones, to bring along.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     src = F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b"))
-    sized = written(docs.select("doc_id", src.alias("src"), n_words(F.col("text")).alias("size")), f"{folder}/sized")
+    sized = written(docs.select("doc_id", *carried, src.alias("src"), n_words(F.col("text")).alias("size")), f"{folder}/sized")
     sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sources = written(targets(sources, weights, share_percent, cap), f"{folder}/targets")
     seats = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5)
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, cap: int = 2
     key = _seeded(F.col("doc_id"), seed)
     rows = sized.join(sources.select("src", "parts"), "src").withColumn("key", key)
     rows = rows.withColumn("part", F.conv(F.substring("key", 1, 15), 16, 10).cast("long") % F.col("parts"))
-    rows = written(rows.select("doc_id", "src", "size", "key", "part"), f"{folder}/rows")
+    rows = written(rows.select("doc_id", *carried, "src", "size", "key", "part"), f"{folder}/rows")
     shards = rows.groupBy("src", "part").agg(F.sum("size").alias("part_size")).join(sources, "src")
     shards = apportion(shards, "part_size", F.col("blocks"), ["src"], ["part"])
     words = F.least(F.col("quota") * block, F.col("part_size") * cap)
@@ -105,4 +106,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = 150, cap: int = 2
     dealt = rows.withColumn("before", F.sum("size").over(order) - F.col("size")).join(shards, ["src", "part"])
     rounds = F.when(F.col("part_size") > 0, F.floor(F.col("quota_words") / F.col("part_size"))).otherwise(0).cast("long")
     last = F.least(F.greatest(F.col("quota_words") - rounds * F.col("part_size") - F.col("before"), F.lit(0)), F.col("size"))
-    return dealt.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + last).cast("long").alias("taken"))
+    return dealt.select("doc_id", *carried, "size", "source_size", "target", (rounds * F.col("size") + last).cast("long").alias("taken"))

@@ -82,6 +82,12 @@ def op10_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents"), "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_vector_dedup": op1_vector_dedup,
@@ -94,6 +100,7 @@ def queries() -> dict:
         "op8_source_mix": op8_source_mix,
         "op9_toxicity": op9_toxicity,
         "op10_shard_lookup": op10_shard_lookup,
+        "pipeline": pipeline,
     }
 
 
