@@ -280,3 +280,50 @@ def scan_score(x: Column) -> Column:
     noise = _count(t, rf"(?U)[^\w\s{_CJK}\x{{3000}}-\x{{303f}}\x{{ff00}}-\x{{ffef}}\-./%]+") / total
     fields = sum((F.when(t.contains(w), 1).otherwise(0) for w in L.SCAN_FIELDS), F.lit(0))
     return F.when(han >= 0.3, 40).when(han >= 0.15, 20).otherwise(0) + F.least(F.lit(30), fields * 8) + F.when(noise < 0.1, 30).when(noise < 0.2, 15).otherwise(0)
+
+
+# Typography and phrases
+
+
+def plain_phrases(x: Column) -> Column:
+    """Inflated phrases by plain words, in the list's order, whatever their case."""
+    t = _s(x)
+    for old, new in L.PHRASES.items():
+        t = F.regexp_replace(t, "(?i)\\Q" + old + "\\E", new)
+    return t
+
+
+def over_generic(x: Column) -> Column:
+    """Two general words or more, and neither a metric nor a name."""
+    t = _s(x)
+    general = sum((F.when(t.contains(w), 1).otherwise(0) for w in L.GENERIC), F.lit(0))
+    return (general >= 2) & ~has_metric(t) & ~t.rlike(r"[A-Z][A-Za-z0-9_+./-]+|[A-Za-z][A-Za-z0-9_+./-]{5,}")
+
+
+def layout_form(x: Column) -> Column:
+    """Line ends, blanks and bullets made plain; no blanks between Han characters; date ranges start lines; no empty lines."""
+    t = F.regexp_replace(_s(x), "\r\n?", "\n")
+    t = F.translate(t, "　 ﻿​", "  ")
+    t = F.regexp_replace(t, rf"(?<=[{_CJK}])[ \t]+(?=[{_CJK}])", "")
+    t = F.regexp_replace(t, r"[•▪◦●○■□▶►▸▹◆◇\x{f000}-\x{f8ff}]+", "\n- ")
+    one = r"(?:19|20)[0-9]{2}[./年][0-9]{1,2}(?:月)?"
+    t = F.regexp_replace(t, rf"(?i)(?<!\n)[ \t]*({one}\s*[-–—~至到]+\s*(?:{one}|至今|present))", "\n$1")
+    return F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda line: compare_form(line)), lambda line: line != ""), "\n")
+
+
+def skill_name(x: Column) -> Column:
+    """Squeezed, no blank between Latin and Han, no grade in brackets at the end."""
+    t = F.regexp_replace(compare_form(wide_to_plain(x)), rf"(?<=[A-Za-z0-9])\s+(?=[{_CJK}])", "")
+    return strip(F.regexp_replace(t, r"(?i)\s*[（(](?:精通|熟练(?:使用|掌握)?|掌握|熟悉|了解|入门)[）)]$", ""))
+
+
+def after_thinking(x: Column) -> Column:
+    """What follows a closing think tag, blank lines squeezed."""
+    return strip(F.regexp_replace(F.regexp_replace(_s(x), r"(?is)^.*?</think>\s*", ""), r"\n{3,}", "\n\n"))
+
+
+def positively_said(value: Column, text: Column) -> Column:
+    """Whether the text says the value, and not only right after a negation."""
+    v, t = evidence_form(value), evidence_form(text)
+    negated = F.regexp_replace(t, "(?:不要|禁止|不能|避免|不得|并非|没有).{0,8}", "\x00")
+    return (v == "") | negated.contains(v)

@@ -59,6 +59,16 @@ def lcs(a: list, b: list) -> int:
     return row[-1]
 
 
+def transcription_measures(expected: str, got: str) -> dict[str, float]:
+    """Characters without white space: kept in order, added and lost."""
+    from collections import Counter
+    from unicodedata import normalize
+
+    e, g = ("".join(normalize("NFKC", x or "").split()) for x in (expected, got))
+    common, added, lost = lcs(list(e), list(g)), sum((Counter(g) - Counter(e)).values()), sum((Counter(e) - Counter(g)).values())
+    return {"exact": float(e == g), "recall": common / max(1, len(e)), "precision": common / max(1, len(g)), "added": added, "lost": lost}
+
+
 def order_measures(expected: list, got: list) -> dict[str, float]:
     """exact, conserved (as multisets), share of the common subsequence, share of kept neighbours."""
     near = set(zip(got, got[1:], strict=False))

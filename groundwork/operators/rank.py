@@ -37,16 +37,17 @@ def ranked_bullets(rows: DataFrame, key: str, pos: str, value: str, target: Colu
     return rows if top is None else rows.where(F.col("rank") <= top)
 
 
-def vote(rows: DataFrame, lexicon: dict[str, tuple[str, ...]], text: str, strong: dict[str, tuple[str, ...]] | None = None, other: str = "other") -> DataFrame:
-    """``label`` and ``votes``: the class with most of its words in the text, strong words 2.5; first class on ties, else ``other``."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hits = lambda words: sum((F.when(low.contains(w.lower()), 1.0).otherwise(0.0) for w in words), F.lit(0.0))
-    scores = [(name, hits(words) + 2.5 * hits((strong or {}).get(name, ()))) for name, words in lexicon.items()]
-    best = F.greatest(*[s for _, s in scores], F.lit(0.0))
-    label = F.lit(other)
-    for name, s in reversed(scores):
-        label = F.when((s == best) & (best > 0), name).otherwise(label)
-    return rows.withColumn("label", label).withColumn("votes", best)
+def vote(rows: DataFrame, lexicon: dict[str, tuple[str, ...]], *texts: str, strong: dict[str, tuple[str, ...]] | None = None, other: str = "other", last: float = 1.0) -> DataFrame:
+    """``label`` and ``votes``: the class with most of its words in the texts; first class on ties, else ``other``.
+
+    Strong words count two and a half times; the last of several texts ``last`` times.
+    """
+    low = [(F.lower(F.coalesce(F.col(t), F.lit(""))), last if len(texts) > 1 and t == texts[-1] else 1.0) for t in texts]
+    hits = lambda words: sum((F.when(t.contains(w.lower()), weight).otherwise(0.0) for w in words for t, weight in low), F.lit(0.0))
+    scores = F.array(*[F.struct((hits(words) + 2.5 * hits((strong or {}).get(name, ()))).alias("v"), F.lit(-i).alias("i"), F.lit(name).alias("n")) for i, (name, words) in enumerate(lexicon.items())])
+    best = F.array_max("__scores")
+    rows = rows.withColumn("__scores", scores)
+    return rows.withColumn("label", F.when(best["v"] > 0, best["n"]).otherwise(other)).withColumn("votes", best["v"]).drop("__scores")
 
 
 def audit_score(rows: DataFrame, base: Column, high: Column, medium: Column, low: Column, model: Column | None = None) -> DataFrame:
