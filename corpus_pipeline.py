@@ -32,10 +32,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     folder = scratch(spark)
     named = docs.select(*COLUMNS).where("doc_id is not null")
-    groups = simhash.simhash_groups(named.select("doc_id", "text"))
+    groups = written(simhash.simhash_groups(named.select("doc_id", "text")), f"{folder}/groups")
+    gone = written(groups.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), f"{folder}/gone")
+    # Only ids travel: few are looked up in a broadcast, if Spark finds them small; else the texts are dealt once.
+    kept = named.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
     least = written(groups.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows")), f"{folder}/least")
-    # A narrow build side: the texts are dealt once and not sorted.
-    kept = named.join(least.select("__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_semi")
     if least.where("rows > 1").limit(1).count():
         often = least.where("rows > 1").select("__id")
         hit = F.col("doc_id") == F.col("__id")
@@ -75,9 +76,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, the ids of the text, and whether they decode to its bytes."""
-    codec = byte_codec()
-    rows = bpe.encode(docs.select("doc_id", "lang", "source", "text"), codec)
-    return bpe.decode(rows, codec).select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    rows = bpe.encode_checked(docs.select("doc_id", "lang", "source", "text"), byte_codec())
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
+
 
 
 STAGES = [

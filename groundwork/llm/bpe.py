@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import lean, small_batches, texts
 
 #: Pre-tokens that a worker remembers; the cache starts anew when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Pre-tokens of one step over a text, so that very long texts need little memory.
 STEP = 1 << 17
 
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids")
             got = encode_batch(codec, b.column(b.schema.get_field_index(text)), enc)
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, ids])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
 
 
 def decode(docs: DataFrame, codec: Codec, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -207,7 +207,24 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", data: str = "decoded
             got = decode_batch(codec, b.column(b.schema.get_field_index(ids)), dec)
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, data])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
+
+
+def encode_checked(docs: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", ok: str = "round_trip") -> DataFrame:
+    """As ``encode``, and ``ok``: whether the ids decode to the text's bytes. One worker does both."""
+    small_batches(docs.sparkSession)
+    rest = docs.drop(ids, ok)
+    schema = T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(ok, T.BooleanType())])
+
+    def run(batches):
+        enc, dec = codec.encoder(), codec.decoder()
+        for b in batches:
+            column = b.column(b.schema.get_field_index(text))
+            got = encode_batch(codec, column, enc)
+            same = [x == t.encode() for x, t in zip(decode_batch(codec, got, dec).to_pylist(), texts(column), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, got, pa.array(same, pa.bool_())], [*b.schema.names, ids, ok])
+
+    return rest.mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -231,4 +248,4 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
             cols = [b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array([hexed(p) for p in packed], pa.string()), pa.array([hexed(dec(p)) for p in packed], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

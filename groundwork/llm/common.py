@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -52,7 +53,7 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Arrow batches of few rows: texts may be long, and Python workers have little memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -88,18 +89,28 @@ def numbered(df: DataFrame, *order: Column, path: str) -> DataFrame:
     return rows.join(F.broadcast(offsets), "_pid").withColumn("rank", F.col("_start") + F.col("_pos")).drop("_pid", "_pos", "_start")
 
 
+def tidy() -> None:
+    """Gives freed memory of this Python worker back: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function over batches that leaves no freed memory behind."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return ["" if x is None else x for x in column.to_pylist()]
 
-
-def chunks(values: list, sizes: list[int], most: int):
-    """Consecutive slices of which the sizes sum to about ``most``."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(values):
-        yield start, len(values)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, small_batches, texts, written
+from .common import lean, scratch, small_batches, texts, written
 from .components import connected_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, words) for t in texts(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def masks(radius: int = 4, bits: int = 64) -> list[int]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, small_batches, texts, written
+from .common import lean, scratch, small_batches, texts, written
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 _loaded: dict[str, object] = {}
@@ -68,7 +68,7 @@ def encoded(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                 got += count(values[k : k + 32])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(got, pa.int64())], CACHE.names)
 
-    return rows.mapInArrow(run, CACHE)
+    return rows.mapInArrow(lean(run), CACHE)
 
 
 def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str | None = None, limit: int = 512) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, small_batches, texts, written
+from .common import lean, scratch, small_batches, texts, written
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Score of a word without a certain feature.
@@ -118,7 +118,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
             names = list(set().union(*counts.values()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][n] for n in names], pa.int64()) for k in kinds)], ["feature", *kinds])
 
-    rows = sample.select("text", "toxic", "half").mapInArrow(run, "feature string, t0 long, c0 long, t1 long, c1 long")
+    rows = sample.select("text", "toxic", "half").mapInArrow(lean(run), "feature string, t0 long, c0 long, t1 long, c1 long")
     return rows.groupBy("feature").agg(*[F.sum(k).alias(k) for k in kinds])
 
 
@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, certainty: f
                 out.append((words, [s for _, _, s in found], [s for s in map(scorers[half].__getitem__, WORDS.findall(t)) if s > 0] if found else []))
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([x[k] for x in out], kind) for k, kind in ((0, pa.int64()), (1, pa.list_(pa.float64())), (2, pa.list_(pa.float64()))))], ["toxic", "n", "found", "positive"])
 
-    rows = picked.select("text", "toxic", "half").mapInArrow(run, "toxic boolean, n long, found array<double>, positive array<double>").collect()
+    rows = picked.select("text", "toxic", "half").mapInArrow(lean(run), "toxic boolean, n long, found array<double>, positive array<double>").collect()
     clean = [r for r in rows if not r["toxic"]]
     rate, spread = extreme_value(sum(r["n"] for r in clean), [s for r in clean for s in r["positive"]], [(r["n"], s) for r in clean for s in r["found"]])
     model = Model(certain["all"], rate, spread, (-4.0, 0.0, 0.0))
@@ -237,4 +237,4 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
                 passages.append([{"start": places[i][0], "end": places[j][1], "score": s} for i, j, s in sure])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(passages, span)], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

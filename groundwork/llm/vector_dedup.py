@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered, scratch, small_batches, written
+from .common import lean, numbered, scratch, small_batches, written
 from .components import connected_components
 
 #: Sorted rows of one comparing task, and members of a component's block.
@@ -59,7 +59,7 @@ def _prepared(vectors: DataFrame) -> DataFrame:
             digest = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vec]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), pa.array(vec, pa.binary())], schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def _hashed(reps: DataFrame, passes: int, seed: int) -> DataFrame:
@@ -80,7 +80,7 @@ def _hashed(reps: DataFrame, passes: int, seed: int) -> DataFrame:
                         ["pass", "label", "dim", "word", "rep", "vec"],
                     )
 
-    return reps.select("label", "rep", "vec").mapInArrow(run, schema)
+    return reps.select("label", "rep", "vec").mapInArrow(lean(run), schema)
 
 
 def _window_links(hashed: DataFrame, window: int, least: float, folder: str) -> DataFrame:
