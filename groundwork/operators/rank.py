@@ -31,7 +31,7 @@ def bullet_density(x: Column) -> Column:
 def ranked_bullets(rows: DataFrame, key: str, pos: str, value: str, target: Column, top: int | None = None) -> DataFrame:
     """``rank`` from 1: overlap with the target plus three times the density, then density, overlap, length; stable."""
     plain = lambda x: X.let(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", ""), lambda t: X.grams(t, 2))
-    rows = rows.withColumn("density", bullet_density(F.col(value)).cast("long")).withColumn("overlap", F.size(F.array_intersect(plain(F.col(value)), plain(target))).cast("long"))
+    rows = rows.withColumn("density", bullet_density(F.col(value)).cast("long")).withColumn("overlap", F.when(F.coalesce(target, F.lit("")) == "", 0).otherwise(F.size(F.array_intersect(plain(F.col(value)), plain(target)))).cast("long"))
     order = [(F.col("overlap") + 3 * F.col("density")).desc(), F.col("density").desc(), F.col("overlap").desc(), F.least(F.length(value), F.lit(120)).desc(), F.col(pos)]
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
     return rows if top is None else rows.where(F.col("rank") <= top)
