@@ -1,10 +1,9 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by comparing every pair of vectors of a label, block against block.
 
-Each pass hashes a vector by the signs of random projections, concatenates them and
-orders the vectors of a label by that word; every vector is compared with a bounded
-window of followers, in double precision. Links of all passes are united. Equal
-vectors are one representative from the start, and what a window cuts off inside a
-dense group is counted exactly afterwards, block against block within the component.
+Equal vectors are one representative from the start. The representatives of a label and
+length are dealt to blocks, and each pair of blocks is one task's, in double precision:
+it gives each vector's number of links, and links that connect just what the pair's
+near vectors connect. No link is left out, and no pair of a dense group is ever listed.
 """
 
 from __future__ import annotations
@@ -17,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, numbered, scratch, small_batches, written
+from .common import lean, scratch, small_batches, written
 from .components import connected_components
 
-#: Sorted rows of one comparing task, and members of a component's block.
-SORTED_ROWS, BLOCK_ROWS = 2048, 1024
-BITS = 63
+#: A label has about so many blocks, if these have BLOCK_ROWS rows at least and BLOCK_BYTES at most.
+BLOCKS, BLOCK_ROWS, BLOCK_BYTES = 8, 512, 1 << 23
 
 
 def _matrix(column: pa.Array) -> list[np.ndarray | None]:
@@ -44,10 +42,6 @@ def unit_rows(data: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def planes(dim: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
-
-
 def _prepared(vectors: DataFrame) -> DataFrame:
     """vec_id, label, and the vector's digest and bytes (null if it links with nothing)."""
     base = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
@@ -62,80 +56,41 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return base.mapInArrow(lean(run), schema)
 
 
-def _hashed(reps: DataFrame, passes: int, seed: int) -> DataFrame:
-    """A row for each representative and pass, with the pass's hash word."""
-    schema = "pass int, label string, dim int, word long, rep long, vec binary"
-
-    def run(batches):
-        weights = (np.uint64(1) << np.arange(BITS, dtype=np.uint64))[::-1]
-        for b in batches:
-            label, rep, vec = (b.column(k).to_pylist() for k in range(3))
-            for dim in {len(v) // 8 for v in vec}:
-                at = [i for i, v in enumerate(vec) if len(v) // 8 == dim]
-                signs = unit_rows([vec[i] for i in at]) @ planes(dim, passes, seed) > 0
-                words = (signs.reshape(len(at), passes, BITS) * weights).sum(axis=2, dtype=np.uint64).astype(np.int64)
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p] * len(at), pa.int32()), pa.array([label[i] for i in at], pa.string()), pa.array([dim] * len(at), pa.int32()), pa.array(words[:, p]), pa.array([rep[i] for i in at], pa.int64()), pa.array([vec[i] for i in at], pa.binary())],
-                        ["pass", "label", "dim", "word", "rep", "vec"],
-                    )
-
-    return reps.select("label", "rep", "vec").mapInArrow(lean(run), schema)
-
-
-def _window_links(hashed: DataFrame, window: int, least: float, folder: str) -> DataFrame:
-    order = [F.col(c) for c in ("pass", "label", "dim", "word", "rep")]
-    rows = numbered(hashed, *order, path=f"{folder}/sorted")
-    block = F.floor(F.col("rank") / SORTED_ROWS)
-    halo = F.when((F.col("rank") % SORTED_ROWS < window) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("rank")
-        v, out = group.column("vec").to_pylist(), []
-        rep = group.column("rep").to_numpy()
-        side = np.array([f"{p}/{d}/{x}" for p, d, x in zip(group.column("pass").to_pylist(), group.column("dim").to_pylist(), group.column("label").to_pylist(), strict=True)])
-        cuts = [0, *(np.flatnonzero(side[1:] != side[:-1]) + 1).tolist(), len(side)]
-        own = group.column("block").to_numpy()[0]
-        mine = np.flatnonzero(group.column("rank").to_numpy() // SORTED_ROWS == own)
-        last = mine[-1] if len(mine) else -1
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            u = unit_rows(v[s:e])
-            for k in range(1, min(window, e - s - 1) + 1):
-                hit = np.flatnonzero(np.einsum("ij,ij->i", u[:-k], u[k:]) >= least) + s
-                hit = hit[hit <= last]
-                out.append(np.stack([rep[hit], rep[hit + k]]))
-        a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.table({"a": pa.array(pairs[0].astype(np.int64)), "b": pa.array(pairs[1].astype(np.int64))})
-
-    spread = rows.withColumn("block", F.explode(halo)).select("block", "rank", "pass", "label", "dim", "rep", "vec")
-    return spread.groupBy("block").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
-
-
-def _counted(members: DataFrame, least: float, folder: str) -> DataFrame:
-    """``members`` (component, rep, n, vec): each rep's links, counting copies, over its whole component."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    sizes = written(sizes, f"{folder}/sizes")
-    rows = members.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _compared(reps: DataFrame, least: float, folder: str) -> DataFrame:
+    """``reps`` (label, rep, n, vec), all pairs of a label: rows (a, b, null), spanning links, and (a, null, part), links of ``a`` counting copies."""
+    reps = reps.withColumn("dim", F.length("vec") / 8)
+    most = F.greatest(F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))), F.lit(1))
+    size = F.least(F.greatest(F.ceil(F.count("*") / BLOCKS), F.lit(BLOCK_ROWS)), most)
+    sizes = written(reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")), f"{folder}/sizes")
+    rows = reps.join(sizes, ["label", "dim"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
-    rows = rows.withColumn("pair", pair).select("component", "pair.lo", "pair.hi", "i", "rep", "n", "vec")
+    rows = rows.withColumn("pair", pair).select("label", "dim", "pair.lo", "pair.hi", "i", "rep", "n", "vec")
 
-    def count(group: pa.Table) -> pa.Table:
+    def compare(group: pa.Table) -> pa.Table:
         i, n, rep = group.column("i").to_numpy(), group.column("n").to_numpy(), group.column("rep").to_numpy()
         lo, hi = group.column("lo").to_numpy()[0], group.column("hi").to_numpy()[0]
-        u, got = unit_rows(group.column("vec").to_pylist()), np.zeros(len(i), np.int64)
+        u, got, root = unit_rows(group.column("vec").to_pylist()), np.zeros(len(i), np.int64), np.arange(len(i))
         x, y = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        v = u[y]
         for k in range(0, len(x), 256):
-            linked = u[x[k : k + 256]] @ u[y].T >= least
+            mine = x[k : k + 256]
+            linked = u[mine] @ v.T >= least
             if lo == hi:
-                linked[np.arange(len(linked)), k + np.arange(len(linked))] = False
-            got[x[k : k + 256]] += linked @ n[y]
-            if lo != hi:
-                got[y] += n[x[k : k + 256]] @ linked
-        return pa.table({"rep": pa.array(rep), "part": pa.array(got)})
-
-    parts = rows.groupBy("component", "lo", "hi").applyInArrow(count, "rep long, part long")
-    return parts.groupBy("rep").agg(F.sum("part").alias("others"))
+                linked[np.arange(len(mine)), k + np.arange(len(mine))] = False
+            for at in np.flatnonzero(linked.any(axis=1)):
+                hit, me = y[linked[at]], mine[at]
+                got[me] += n[hit].sum()
+                if lo != hi:
+                    got[hit] += n[me]
+                if (root[hit] != root[me]).any():
+                    joined = np.unique(np.append(root[hit], root[me]))
+                    root[np.isin(root, joined)] = joined[0]
+        odd, some = np.flatnonzero(root != np.arange(len(i))), np.flatnonzero(got)
+        a, b = np.concatenate([rep[odd], rep[some]]), np.concatenate([rep[root[odd]], np.zeros(len(some), np.int64)])
+        part, count = np.concatenate([np.zeros(len(odd), np.int64), got[some]]), np.arange(len(a)) >= len(odd)
+        return pa.table({"a": pa.array(a), "b": pa.array(b, mask=count), "part": pa.array(part, mask=~count)})
+
+    return rows.groupBy("label", "dim", "lo", "hi").applyInArrow(compare, "a long, b long, part long")
 
 
 def vector_groups(vectors: DataFrame, least: float = 0.98, passes: int = 16, window: int = 32, seed: int = 42) -> DataFrame:
@@ -144,7 +99,8 @@ def vector_groups(vectors: DataFrame, least: float = 0.98, passes: int = 16, win
     Rows with a null label, or a vector that is null, empty, zero or has a null or
     non-finite part, link with nothing: no links, their own component. Vectors of
     unlike lengths do not link. Repeated rows and equal vectors count as separate
-    vectors and link with each other. An empty table gives an empty table.
+    vectors and link with each other. An empty table gives an empty table. ``passes``,
+    ``window`` and ``seed`` bounded an earlier search; calls may name them, nothing depends on them.
     """
     folder = scratch(vectors.sparkSession)
     small_batches(vectors.sparkSession, 1024)
@@ -153,11 +109,10 @@ def vector_groups(vectors: DataFrame, least: float = 0.98, passes: int = 16, win
     reps = sound.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("vec").alias("vec"))
     reps = written(reps.withColumn("rep_key", F.xxhash64("label", "digest")), f"{folder}/reps")
     # A null or repeated vec_id could name two representatives: nodes are hashes of label and vector.
-    nodes = reps.select("label", F.col("rep_key").alias("rep"), "vec")
-    links = written(_window_links(_hashed(nodes, passes, seed), window, least, folder), f"{folder}/links")
-    part = written(connected_components(links, f"{folder}/components"), f"{folder}/part")
-    named = written(reps.join(part, reps["rep_key"] == part["node"]).select("component", F.col("rep_key").alias("rep"), "n", "vec"), f"{folder}/named")
-    others = _counted(named, least, folder)
+    nodes = reps.select("label", F.col("rep_key").alias("rep"), "n", "vec")
+    found = written(_compared(nodes, least, folder), f"{folder}/found")
+    part = written(connected_components(found.where("b is not null").select("a", "b"), f"{folder}/components"), f"{folder}/part")
+    others = found.where("part is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("part").alias("others"))
     least_id = part.join(reps, part["node"] == reps["rep_key"]).groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = part.join(least_id, "component").join(others.withColumnRenamed("rep", "node"), "node").select(F.col("node").alias("rep_key"), "component_id", "others")
     info = reps.join(linked, "rep_key", "left").select("label", "digest", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"))

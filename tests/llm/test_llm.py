@@ -93,6 +93,24 @@ def test_vectors_in_a_dense_group_wider_than_the_window(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_vectors_of_a_shared_direction_keep_every_link(spark):
+    """Mutual cosine about 0.92, pairs planted at about 0.983: their hash words share long prefixes."""
+    rng = np.random.default_rng(2)
+    v = np.zeros((1500, 64))
+    v[:, 0] = 1
+    noise = rng.standard_normal(v.shape)
+    v += 0.295 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    noise = rng.standard_normal((150, 64))
+    v[1350:] = v[:150] + 0.191 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    rows = [(i, x.tolist(), 7) for i, x in enumerate(v)]
+    got = vector_dedup.vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), window=4, passes=2).collect()
+    assert near[np.arange(150), np.arange(1350, 1500)].sum() > 100
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate((near.sum(axis=1) - 1).tolist()))
+    assert {r["vec_id"]: r["component_id"] for r in got} == {i: int(np.flatnonzero(near[i])[0]) for i in range(1500)}
+
+
 def test_no_vectors(spark):
     assert vector_dedup.vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
