@@ -349,6 +349,24 @@ def test_quality_keeps_the_clean_and_drops_the_odd(spark, tmp_path):
     assert none.where("kept").count() == 130
 
 
+def test_thresholds_come_from_all_trusted_documents(spark, tmp_path):
+    """A small sample teaches; all others judge, and a rare language teaches and judges too."""
+    rnd = random.Random(7)
+    words = {"en": "the cat sat on a mat and saw that dog run home again with bread".split(), "ru": "кот сел на ковёр и видел как собака бежит домой опять хлеб".split()}
+    rows = [(i, " ".join(rnd.choice(words["ru" if i % 40 == 0 else "en"]) for _ in range(rnd.randrange(20, 60))), "ru" if i % 40 == 0 else "en") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, 1) for i in range(320)], "doc_id long, quality int")
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = quality_model.quality(docs, labels, sample=20).collect()
+    assert all(r["kept"] for r in got)
+    taught = {r["doc_id"] for r in quality_model.trusted_sample(docs, quality_model.trusted(labels), 20, str(tmp_path / "s")).collect()}
+    assert len(taught) < 20 and {r["lang"] for r in got if r["doc_id"] in taught} == {"en", "ru"}
+    x = np.array(sorted(r["nats"] - 3 / np.sqrt(r["n"]) for r in got if r["lang"] == "en" and r["doc_id"] < 320 and r["doc_id"] not in taught))
+    at = lambda q: x[int(np.ceil(q * len(x))) - 1]
+    most = next(r["most"] - 3 / np.sqrt(r["n"]) for r in got if r["lang"] == "en")
+    assert len(x) > 290 and abs(most - (at(0.5) + 6 * (at(0.9) - at(0.5)))) < 1e-6
+
+
 # 7
 
 
