@@ -8,12 +8,15 @@ shape and case, names their title, gender and script.
 
 Collisions are looked for over the distinct entities of the whole corpus: a surrogate
 that two entities share, or that is itself an entity of the corpus, moves the later
-one to its next attempt until none is left. Only those few entities travel to their
+one to its next attempt until none is left; after WIDE attempts surrogates of kinds with
+small forms grow longer. Only those few entities travel to their
 documents; all other surrogates are computed in place, without a shuffle of texts.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +36,17 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7})(?![0-9A-Za-z])",
     "person": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{8,128}+",
+    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)(?=[_+/.-]*+[A-Za-z0-9])[A-Za-z0-9_+/.-]{8,128}+",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts that cannot match any pattern are let through at once.
 MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
-#: Attempts before the search for free surrogates gives up.
-ATTEMPTS = 20
+#: Attempts within the entity's own form; later ones lengthen the surrogate, so that a small form cannot run out.
+WIDE = 6
 
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va".split(), "cyrillic": "ба бе бо да де до ка ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ви".split()}
+#: Letters that lengthen a name, one for each hexadecimal digit.
+LETTERS = {"latin": "abdefgiklmnoprst", "cyrillic": "абдегиклмнопрсту"}
 ENDINGS = {
     ("latin", "given", "m"): "n r s l".split(), ("latin", "given", "f"): "na la ra sa".split(), ("latin", "surname", "m"): "rd nt lt rn".split(), ("latin", "surname", "f"): "rd nt lt rn".split(),
     ("cyrillic", "given", "m"): "н р с л".split(), ("cyrillic", "given", "f"): "на ла ра са".split(), ("cyrillic", "surname", "m"): "ров нов лов нин".split(), ("cyrillic", "surname", "f"): "рова нова лова нина".split(),
@@ -109,7 +114,7 @@ def _shaped(norm: Column, hexed: Column, keep: Column) -> Column:
     """``norm`` with every letter and digit after the first ``keep`` drawn anew in its class."""
     small = F.when(norm.rlike("^[0-9a-f]+$"), 6).otherwise(26)
     large = F.when(norm.rlike("^[0-9A-F]+$"), 6).otherwise(26)
-    drawn = lambda c, i: F.when(i < keep, c).when(c.rlike("[0-9]"), (_bytes(hexed, i % 256) % 10).cast("string")).when(c.rlike(r"\p{Ll}"), F.char(_bytes(hexed, i % 256) % small + 97)).when(c.rlike(r"\p{Lu}"), F.char(_bytes(hexed, i % 256) % large + 65)).otherwise(c)
+    drawn = lambda c, i: F.when(i < keep, c).when(c.rlike("[0-9]"), (_bytes(hexed, i % 256) % 10).cast("string")).when(c.rlike(r"\p{Ll}"), F.char(_bytes(hexed, i % 256) % small + 97)).when(c.rlike(r"\p{Lu}"), F.char(_bytes(hexed, i % 256) % large + 65)).when(c.rlike(r"\p{L}"), F.char(_bytes(hexed, i % 256) % 26 + 97)).when(c.rlike(r"\p{N}"), (_bytes(hexed, i % 256) % 10).cast("string")).otherwise(c)
     return F.array_join(F.transform(_chars(norm), drawn), "")
 
 
@@ -119,21 +124,23 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
     def drawn(h: Column) -> Column:
         n = F.length(norm)
+        more = F.when(attempt > WIDE, F.substr(F.sha2(seed("more"), 256), F.lit(1), (attempt - WIDE) * 4)).otherwise("")
         number = _shaped(norm, h, F.greatest(n - 10, F.lit(0)))
+        number = F.concat(number, F.translate(more, "abcdef", "012345"))
         card = F.concat(F.substr(_shaped(norm, h, F.lit(1)), F.lit(1), n - 1), F.lit("0"))
         card = let(card, lambda c: F.concat(F.substr(c, F.lit(1), n - 1), ((10 - luhn_rest(c)) % 10).cast("string")))
         body = F.concat(F.substr(norm, F.lit(1), F.lit(2)), F.lit("00"), F.substr(_shaped(norm, h, F.lit(4)), F.lit(5)))
         iban = let(body, lambda b: F.concat(F.substr(b, F.lit(1), F.lit(2)), F.lpad((98 - mod97(iban_turned(b))).cast("string"), 2, "0"), F.substr(b, F.lit(5))))
         domain = F.substr(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(norm, "@", -1)), 256), F.lit(1), F.lit(8))
-        email = F.concat(_shaped(F.substring_index(norm, "@", 1), h, F.lit(0)), F.lit("@d"), domain, F.lit(".example.com"))
+        email = F.concat(_shaped(F.substring_index(norm, "@", 1), h, F.lit(0)), more, F.lit("@d"), domain, F.lit(".example.com"))
         ip = F.concat_ws(".", *[(_bytes(h, i) % 254 + 1).cast("string") for i in range(4)])
         name = F.lit(None).cast("string")
         for (script, part, gender), ends in ENDINGS.items():
             pool = F.array(*map(F.lit, SYLLABLES[script]))
-            made = F.concat(*[F.element_at(pool, _bytes(h, i) % len(SYLLABLES[script]) + 1) for i in range(4)], F.element_at(F.array(*map(F.lit, ends)), _bytes(h, 9) % len(ends) + 1))
+            made = F.concat(*[F.element_at(pool, _bytes(h, i) % len(SYLLABLES[script]) + 1) for i in range(4)], F.translate(more, "0123456789abcdef", LETTERS[script]), F.element_at(F.array(*map(F.lit, ends)), _bytes(h, 9) % len(ends) + 1))
             name = F.when(kind == f"{part}/{gender}/{script}", made).otherwise(name)
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), number)
-        return out.when(kind == "aws", _shaped(norm, h, F.lit(4))).when(kind == "secret", _shaped(norm, h, F.lit(0))).otherwise(name)
+        return out.when(kind == "aws", _shaped(norm, h, F.lit(4))).when(kind == "secret", F.concat(_shaped(norm, h, F.lit(0)), more)).otherwise(name)
 
     return let(F.concat(*[F.sha2(seed(i), 512) for i in range(8)]), drawn)
 
@@ -141,6 +148,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 def written_as(match: Column, kind: Column, new: Column) -> Column:
     """A surrogate of one part in the notation of the detected text."""
     filled = F.array_join(F.transform(_chars(match), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, F.length(_digits(F.substr(match, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    filled = F.concat(filled, F.substr(new, F.length(_digits(match)) + 1))
     spaced = F.when(match.contains(" "), F.trim(F.regexp_replace(new, "(.{4})", "$1 "))).otherwise(new)
     return F.when(kind.isin("phone", "ssn", "card"), filled).when(kind == "iban", spaced).when((kind == "email") & (match == F.upper(match)), F.upper(new)).otherwise(new)
 
@@ -157,9 +165,13 @@ def replaced(match: Column, moved: Column | None, key: str) -> Column:
 
 
 def free_attempts(entities: DataFrame, key: str, folder: str) -> DataFrame:
-    """``entities`` (kind, norm, distinct) with the least attempts at which all surrogates are distinct and none is an entity."""
+    """``entities`` (kind, norm, distinct) with the least attempts at which all surrogates are distinct and none is an entity.
+
+    Ends for any number of entities of the kinds that lengthen; the forms of the others
+    (ip, card, iban, aws) have billions of members.
+    """
     now = written(entities.withColumn("attempt", F.lit(0)), f"{folder}/attempt0")
-    for turn in range(1, ATTEMPTS + 1):
+    for turn in count(1):
         drawn = written(now.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), f"{folder}/drawn{turn}")
         first = F.min(F.struct("attempt", "norm")).alias("first")
         owner = written(drawn.groupBy("kind", "new").agg(first).select("kind", "new", F.col("first.norm").alias("owner")), f"{folder}/owner{turn}")
@@ -170,7 +182,6 @@ def free_attempts(entities: DataFrame, key: str, folder: str) -> DataFrame:
         if not now.agg(F.max("clash")).first()[0]:
             return now.select("kind", "norm", "attempt")
         now = now.drop("clash")
-    raise ValueError("no free surrogates: too many entities of one form")
 
 
 def pseudonymised(docs: DataFrame, key: str = "groundwork") -> DataFrame:

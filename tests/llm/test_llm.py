@@ -296,6 +296,15 @@ def test_colliding_surrogates_move_on(spark):
         assert len(set(new)) == 100 and not set(new) & {r[k] for r in real}
 
 
+def test_forms_that_run_out_grow_longer(spark):
+    """Six letters are all of one form, and lines without a letter or digit are no secrets."""
+    texts = [f"mail {c}@x.org" for c in "abcdef"] + ["Password: ____________", "token: --------", "secret=........", "张三@x.org"]
+    got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    new = [re.fullmatch(r"mail (\w+)@d\w{8}\.example\.com", t)[1] for t in got[:6]]
+    assert len(set(new)) == 6
+    assert got[6:9] == texts[6:9] and "张三" not in got[9]
+
+
 # 6
 
 
