@@ -15,35 +15,41 @@ documents; all other surrogates are computed in place, without a shuffle of text
 
 from __future__ import annotations
 
+import secrets
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, scratch, written
 
 MALE = "Mr|Herr|M\\.|Monsieur|Sr|Señor|Господин|г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|Госпожа|г-жа"
-_NAME = r"\p{Lu}[\p{Ll}’'-]+(?: \p{Lu}[\p{Ll}’'-]+)?"
+#: Words of a name: any number, with inner capitals, apostrophes and hyphens.
+_PART = r"\p{Lu}[’'-]?\p{L}[\p{L}’'-]*+"
+_NAME = rf"{_PART}(?: {_PART})*+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Kinds and their patterns; where several match at one place the first counts.
+#: Kinds and their patterns; where several match at one place the first counts. Whatever may
+#: repeat without a bound is possessive: the engine's stack does not grow with the text.
 KINDS = {
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]++\.[A-Za-z0-9-]))++[A-Za-z]{2,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .-][0-9]{1,4}[ .-][0-9]{5,8}(?![0-9])|(?<![0-9+])\+[0-9]{8,15}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|(?:[0-9]{4}[ -]){3}[0-9]{1,7})(?![0-9A-Za-z])",
     "person": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)(?=[_+/.-]*+[A-Za-z0-9])[A-Za-z0-9_+/.-]{8,128}+",
+    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?=[_+/.-]*+[A-Za-z0-9])[A-Za-z0-9_+/.-]{8,}+",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts that cannot match any pattern are let through at once.
-MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)\s*[=:]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s{0,2}[=:]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 #: Attempts within the entity's own form; later ones lengthen the surrogate, so that a small form cannot run out.
 WIDE = 6
 
+_DRAWN = secrets.token_hex(16)
+
 SYLLABLES = {"latin": "ba be bo da de do fa fe fi ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va".split(), "cyrillic": "ба бе бо да де до ка ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ви".split()}
 #: Letters that lengthen a name, one for each hexadecimal digit.
 LETTERS = {"latin": "abdefgiklmnoprst", "cyrillic": "абдегиклмнопрсту"}
@@ -96,8 +102,16 @@ def keys_of(match: Column) -> Column:
         simple = F.when(k == "email", F.lower(match)).when(k.isin("phone", "ssn", "card"), _digits(match)).when(k == "iban", F.replace(match, F.lit(" "), F.lit(""))).otherwise(match)
         gender = F.when(match.rlike(f"^(?:{FEMALE})"), "f").otherwise("m")
         script = F.when(match.rlike(r"\p{IsCyrillic}\S*$"), "cyrillic").otherwise("latin")
-        names = F.split(F.substr(match, F.length(_title(match)) + 1), " ")
-        person = F.transform(names, lambda x, i: F.struct(F.concat_ws("/", F.when(i == F.size(names) - 1, "surname").otherwise("given"), F.when((script == "latin") & (i == F.size(names) - 1), "m").otherwise(gender), script).alias("kind"), F.lower(x).alias("norm")))
+        words = F.split(F.substr(match, F.length(_title(match)) + 1), " ")
+        about = F.struct(words.alias("words"), F.size(words).alias("n"), gender.alias("gender"), script.alias("script"))
+
+        def named(a: Column) -> Column:
+            """Each word's part, gender and script; a Latin surname has no gender."""
+            last = lambda i: i == a["n"] - 1
+            kind = lambda i: F.concat_ws("/", F.when(last(i), "surname").otherwise("given"), F.when((a["script"] == "latin") & last(i), "m").otherwise(a["gender"]), a["script"])
+            return F.transform(a["words"], lambda x, i: F.struct(kind(i).alias("kind"), F.lower(x).alias("norm")))
+
+        person = let(about, named)
         none = F.array().cast("array<struct<kind:string,norm:string>>")
         return F.when(k.isNull(), none).when(k == "person", person).otherwise(F.array(F.struct(k.alias("kind"), simple.alias("norm"))))
 
@@ -112,10 +126,16 @@ def _bytes(hexed: Column, i: Column | int) -> Column:
 
 def _shaped(norm: Column, hexed: Column, keep: Column) -> Column:
     """``norm`` with every letter and digit after the first ``keep`` drawn anew in its class."""
-    small = F.when(norm.rlike("^[0-9a-f]+$"), 6).otherwise(26)
-    large = F.when(norm.rlike("^[0-9A-F]+$"), 6).otherwise(26)
-    drawn = lambda c, i: F.when(i < keep, c).when(c.rlike("[0-9]"), (_bytes(hexed, i % 256) % 10).cast("string")).when(c.rlike(r"\p{Ll}"), F.char(_bytes(hexed, i % 256) % small + 97)).when(c.rlike(r"\p{Lu}"), F.char(_bytes(hexed, i % 256) % large + 65)).when(c.rlike(r"\p{L}"), F.char(_bytes(hexed, i % 256) % 26 + 97)).when(c.rlike(r"\p{N}"), (_bytes(hexed, i % 256) % 10).cast("string")).otherwise(c)
-    return F.array_join(F.transform(_chars(norm), drawn), "")
+    small, large = F.when(norm.rlike("^[0-9a-f]++$"), 6).otherwise(26), F.when(norm.rlike("^[0-9A-F]++$"), 6).otherwise(26)
+    about = F.struct(small.alias("small"), large.alias("large"), keep.alias("keep"), hexed.alias("hexed"))
+
+    def drawn(a: Column) -> Column:
+        at = lambda i: _bytes(a["hexed"], i % 256)
+        digit, letter = lambda i: (at(i) % 10).cast("string"), lambda i, n, first: F.char(at(i) % n + first)
+        new = lambda c, i: F.when((i < a["keep"]) | ~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{N}"), digit(i)).when(c.rlike(r"\p{Ll}"), letter(i, a["small"], 97)).when(c.rlike(r"\p{Lu}"), letter(i, a["large"], 65)).otherwise(letter(i, 26, 97))
+        return F.array_join(F.transform(_chars(norm), new), "")
+
+    return let(about, drawn)
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -158,7 +178,7 @@ def replaced(match: Column, moved: Column | None, key: str) -> Column:
 
     def parts(ks: Column) -> Column:
         attempt = lambda k: F.lit(0) if moved is None else F.coalesce(moved[F.concat_ws(":", k["kind"], k["norm"])], F.lit(0))
-        new = F.transform(ks, lambda k: F.when(k["kind"].contains("/"), F.initcap(surrogate(k["kind"], k["norm"], attempt(k), key))).otherwise(written_as(match, k["kind"], surrogate(k["kind"], k["norm"], attempt(k), key))))
+        new = F.transform(ks, lambda k: F.when(k["kind"].contains("/"), F.initcap(surrogate(k["kind"], k["norm"], attempt(k), key))).otherwise(let(surrogate(k["kind"], k["norm"], attempt(k), key), lambda new: written_as(match, k["kind"], new))))
         return F.when(F.size(ks) == 0, match).when(F.get(ks, 0)["kind"].contains("/"), F.concat(_title(match), F.array_join(new, " "))).otherwise(F.get(new, 0))
 
     return let(keys_of(match), parts)
@@ -184,12 +204,24 @@ def free_attempts(entities: DataFrame, key: str, folder: str) -> DataFrame:
         now = now.drop("clash")
 
 
-def pseudonymised(docs: DataFrame, key: str = "groundwork") -> DataFrame:
+def secret_key(spark: SparkSession) -> str:
+    """The key that ``spark.groundwork.pii.key`` names; where unset, one drawn for this process and kept nowhere else.
+
+    Who knows the key can tell which entity a surrogate stands for, so no key is part of
+    the code. Runs that must agree with each other set the same one.
+    """
+    return spark.conf.get("spark.groundwork.pii.key", None) or _DRAWN
+
+
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the texts' entities replaced, and n_entities, kinds.
 
+    Names are found by their titles; a name without one is left, and so are numbers with
+    wrong check digits. Long texts, and long entities, are taken whole.
+
     Null and empty texts stay as they are, with no entities. Repeated rows, and rows
     that share a doc_id, change alike; an empty table gives an empty table. Columns
-    named n_entities and kinds are replaced. Numbers with wrong check digits stay.
+    named n_entities and kinds are replaced.
     """
     folder = scratch(docs.sparkSession)
     docs = docs.drop("n_entities", "kinds")

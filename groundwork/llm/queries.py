@@ -40,13 +40,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_counts import Tokenizer, token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), Tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    cache = spark.conf.get("spark.groundwork.tokens.cache", None)  # a folder that runs share; unset: a new one
+    return token_counts(table(spark, sf_dir, "documents"), Tokenizer(public_tokenizers.path("byte_bpe_50k.json")), cache)
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymised
+    from .pii import pseudonymised, secret_key
 
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), secret_key(spark))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
