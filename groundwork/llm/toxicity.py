@@ -40,29 +40,36 @@ def features(word: str) -> list[str]:
 
 
 def segments(scores: list[tuple[int, float]], loss: float = LOSS) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, last word, score) in one pass.
+    """All maximal scoring segments (first word, last word, score) in linear time.
 
     ``scores`` has the words of positive score, (place, score) in order; all between
-    score ``loss``. The stack holds candidates with the running totals before and after
-    each; every word is pushed and merged once.
+    score ``loss``. Each candidate keeps the running totals before and after it and the
+    place of the nearest candidate to its left with a lower total before, so what lies
+    between is never looked at again. A candidate without such a neighbour settles all
+    that came earlier: they leave the list.
     """
-    stack: list[tuple[float, float, int, int]] = []  # total before, total after, first, last
+    out: list[tuple[int, int, float]] = []
+    held: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, left neighbour
     total, at = 0.0, 0
     for place, s in scores:
         total += loss * (place - at)
-        before, first, last = total, place, place
+        before, first = total, place
         total += s
         at = place + 1
-        while stack:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] >= before:
-                k -= 1
-            if k < 0 or stack[k][1] >= total:
+        left = len(held) - 1
+        while True:
+            while left >= 0 and held[left][0] >= before:
+                left = held[left][4]
+            if left < 0 or held[left][1] >= total:
                 break
-            before, first = stack[k][0], stack[k][2]
-            del stack[k:]
-        stack.append((before, total, first, last))
-    return [(first, last, after - before) for before, after, first, last in stack]
+            before, _, first, _, further = held[left]
+            del held[left:]
+            left = further
+        if left < 0:
+            out += [(i, j, after - b) for b, after, i, j, _ in held]
+            held.clear()
+        held.append((before, total, first, place, left))
+    return out + [(i, j, after - b) for b, after, i, j, _ in held]
 
 
 class Scorer(dict):
@@ -97,12 +104,14 @@ def held_out(doc_id):
 def sampled(docs: DataFrame, labels: DataFrame, sample: int, folder: str) -> DataFrame:
     """Up to ``sample`` labelled documents to learn from, by the order of their ids' digests.
 
-    At most so many ids are broadcast. A document with several labels is toxic if any says so.
+    At most so many ids are broadcast. A document with several labels is toxic if any says
+    so, and of documents with one text the least id stands for all, toxic if any is; so
+    reruns learn from the same rows.
     """
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     ids = written(ids, f"{folder}/ids")
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text"])
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     return written(picked.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"), _half(F.col("doc_id")).alias("half")), f"{folder}/sample")
 
 
