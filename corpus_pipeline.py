@@ -2,9 +2,9 @@
 
 Every stage is written as Parquet and read back before the next, so a lost executor
 costs at most part of one stage. All stages but the last return the columns of
-documents. Null and empty texts: rejected by the first stage. Repeated rows: the second
-stage keeps one document of each group of near copies, whichever repeats hold it. Empty
-tables give empty tables. Columns beyond those of documents are dropped at the start.
+documents. Null and empty texts: rejected by the first stage, and each other stage takes
+them as texts without words. Repeated rows: the second stage keeps one document of each
+group of near copies, whichever repeats hold it. Empty tables give empty tables. Columns beyond those of documents are dropped at the start.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import bpe, mixing, pii, quality_model, simhash
-from groundwork.llm.common import WORD, scratch, table, written
+from groundwork.llm.common import WORD, removed, scratch, table, written
 from groundwork.llm.queries import byte_codec
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,29 +26,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each group of near copies; of its repeated rows, one.
+    """Keeps one document of each group of near copies: that of least id, and of its texts the least by hash.
 
-    Rows without an id belong to no group and stay once for each text.
+    Documents are told apart by id and text, so rows without an id and texts that share
+    one are judged each for itself; rows with an id go before rows without. Of rows
+    equal in both, the least by the other columns stays.
     """
     folder = scratch(spark)
-    named = docs.select(*COLUMNS).where("doc_id is not null")
-    groups = written(simhash.simhash_groups(named.select("doc_id", "text")), f"{folder}/groups")
-    gone = written(groups.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), f"{folder}/gone")
-    # Only ids travel: few are looked up in a broadcast, if Spark finds them small; else the texts are dealt once.
-    kept = named.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    least = written(groups.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows")), f"{folder}/least")
-    if least.where("rows > 1").limit(1).count():
-        often = least.where("rows > 1").select("__id")
-        hit = F.col("doc_id") == F.col("__id")
-        first = F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row")
-        once = kept.join(often, hit, "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*").select(*COLUMNS)
-        kept = kept.join(often, hit, "left_anti").unionByName(once)
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null").dropDuplicates(["text"]))
+    docs = docs.select(*COLUMNS)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    groups = written(simhash.simhash_groups(docs.select(name.alias("doc_id"), "text")).select("doc_id.*", "kept"), f"{folder}/groups")
+    names = ["id", "hash"]
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    gone = written(groups.where("not kept").select(*names).distinct(), f"{folder}/gone")
+    # Only names travel: few are looked up in a broadcast, if Spark finds them small; else the texts are dealt once.
+    kept = docs.join(gone, same, "left_anti")
+    often = written(groups.where("kept").groupBy(*names).count().where("count > 1").select(*names), f"{folder}/often")
+    if often.limit(1).count():
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        least = F.min(F.struct(*rest)).alias("row")
+        once = kept.join(often, same, "left_semi").groupBy("doc_id", "text").agg(least).select("doc_id", "text", "row.*").select(*COLUMNS)
+        kept = kept.join(often, same, "left_anti").unionByName(once)
+    return kept
 
 
 def no_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data; n_chars follows the new text."""
-    changed = pii.pseudonymised(docs.select(*COLUMNS))
+    changed = pii.pseudonymised(docs.select(*COLUMNS), pii.secret_key(spark))
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -66,7 +70,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = written(taken.where("taken > 0"), f"{folder}/taken")
     if taken.where("rows > 1").limit(1).count():
         docs = docs.dropDuplicates(["__key"])
-    rows = docs.join(taken.hint("shuffle_hash"), F.col("__key") == F.col("__k"))
+    rows = docs.join(taken, F.col("__key") == F.col("__k"))
     copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("__copy")
     rows = rows.select("*", copy).withColumn("__words", F.least(F.col("size"), F.col("taken") - (F.col("__copy") - 1) * F.col("size")))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")
@@ -100,4 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"{folder}/stage{k}")
+        if 2 <= k < len(STAGES) - 1:  # what the stage before the last wrote is read by nothing more, and may hold personal data
+            removed(spark, f"{folder}/stage{k - 2}")
     return docs
