@@ -6,8 +6,9 @@ differing bits span less than the whole space, so some v is orthogonal to them a
 its mask skips every differing bit, and the pair collides in that table, without fail.
 
 Equal fingerprints are one class from the start. Within a table's bucket all classes
-near the least one are linked to it; only the others are compared with the whole
-bucket, in blocks, and give spanning links. No pair of a group is ever listed.
+near the least one are linked to it; only the others are compared with the bucket, a
+block of them with a part of its members, and give spanning links. No task holds a
+whole bucket, and no pair of a group is ever listed.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from .components import connected_components
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at a time.
 STEP = 1 << 16
-#: Classes far from their bucket's least one that one task compares with the bucket.
-FAR_ROWS = 512
+#: Classes far from their bucket's least one, and members of the bucket, that are compared at a time.
+FAR_ROWS, MEMBER_ROWS = 512, 4096
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -68,26 +69,33 @@ def masks(radius: int = 4, bits: int = 64) -> list[int]:
 
 
 def near_links(classes: DataFrame, radius: int, folder: str) -> DataFrame:
-    """``classes`` (fp, distinct) to links (a, b) that connect just what chains of near pairs connect."""
+    """``classes`` (fp, distinct) to links (a, b) that connect just what chains of near pairs connect.
+
+    One exchange deals (key, fingerprint), summed up before it: a bucket of two gives its
+    pair outright. Only buckets of three and more are joined back to their members.
+    """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "key")
-    keyed = classes.select("fp", tables)
-    buckets = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    # A key is a hash of table and masked bits: should two buckets meet, their members are only compared in vain.
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
+    keyed = classes.select("fp", F.explode(keys).alias("k"))
+    buckets = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).where("n > 1")
     buckets = written(buckets, f"{folder}/buckets")
-    rows = written(keyed.join(buckets, ["t", "key"]).select("t", "key", "fp", "least"), f"{folder}/rows")
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("least")))
-    near = rows.where((apart <= radius) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    far = rows.where(apart > radius).select("t", "key", "fp")
-    blocks = far.groupBy("t", "key").agg(F.ceil(F.count("*") / FAR_ROWS).cast("int").alias("blocks"))
-    blocks = written(blocks, f"{folder}/blocks")
-    numbered = far.join(blocks, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    one = numbered.select("t", "key", "block", "fp", F.lit(True).alias("is_far"))
-    every = rows.join(blocks, ["t", "key"]).select("t", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "fp", F.lit(False).alias("is_far"))
+    apart = lambda x: F.bit_count(F.col(x).bitwiseXOR(F.col("least")))
+    two = buckets.where((F.col("n") == 2) & (apart("most") <= radius)).select(F.col("most").alias("a"), F.col("least").alias("b"))
+    rows = written(keyed.join(buckets.where("n > 2").select("k", "least"), "k"), f"{folder}/rows")
+    near = rows.where((apart("fp") <= radius) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    far = rows.where(apart("fp") > radius).select("k", "fp")
+    sizes = rows.groupBy("k").agg(F.ceil(F.count("*") / MEMBER_ROWS).cast("int").alias("parts"), F.ceil(F.count(F.when(apart("fp") > radius, 1)) / FAR_ROWS).cast("int").alias("blocks"))
+    sizes = written(sizes.where("blocks > 0"), f"{folder}/sizes")
+    place = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int").alias(c[:-1])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(c[:-1])
+    one = far.join(sizes, "k").select("k", place("blocks"), every("parts"), "fp", F.lit(True).alias("is_far"))
+    others = rows.select("k", "fp").join(sizes, "k").select("k", every("blocks"), place("parts"), "fp", F.lit(False).alias("is_far"))
 
     def spanning(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
         mask = group.column("is_far").to_numpy(zero_copy_only=False).astype(bool)
-        mine, members = fp[mask], np.unique(fp[~mask])
+        mine, members = np.unique(fp[mask]), np.unique(fp)
         label = np.arange(len(members))
         for x in mine:
             hit = np.flatnonzero(np.bitwise_count(members ^ x) <= radius)
@@ -98,8 +106,8 @@ def near_links(classes: DataFrame, radius: int, folder: str) -> DataFrame:
         a, b = members[odd].view(np.int64), members[label[odd]].view(np.int64)
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    rest = one.union(every).groupBy("t", "key", "block").applyInArrow(spanning, "a long, b long")
-    return near.union(rest)
+    rest = one.unionByName(others).groupBy("k", "block", "part").applyInArrow(spanning, "a long, b long")
+    return two.union(near).union(rest)
 
 
 def simhash_groups(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
