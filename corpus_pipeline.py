@@ -104,6 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"{folder}/stage{k}")
-        if 2 <= k < len(STAGES) - 1:  # what the stage before the last wrote is read by nothing more, and may hold personal data
-            removed(spark, f"{folder}/stage{k - 2}")
+        if 1 <= k < len(STAGES) - 1:  # what this stage read is read by nothing more, and may hold personal data
+            removed(spark, f"{folder}/stage{k - 1}")
     return docs
