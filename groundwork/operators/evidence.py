@@ -37,8 +37,7 @@ def shingles(x: Column, n: int = SHINGLE) -> Column:
 def corpus_overlap(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str = "doc_id", n: int = SHINGLE) -> DataFrame:
     """(claim, doc_id, shared, total): shingles that a claim shares with a document.
 
-    Claims are few and go first: only documents' shingles that some claim has survive
-    the semi-join, so what is grouped is bounded by the matches, not by the corpus.
+    An equi-join on the shingle: what is grouped is bounded by the matches, not by the corpus.
     """
     c = claims.select(claim_id, shingles(F.col("text"), n).alias("s")).select(claim_id, F.size("s").cast("long").alias("total"), F.explode("s").alias("gram"))
     d = docs.select(doc_id, F.explode(shingles(F.col("text"), n)).alias("gram"))
@@ -53,13 +52,23 @@ def best_document(overlap: DataFrame, claim_id: str, doc_id: str = "doc_id", lea
 
 
 def containing(claims: DataFrame, docs: DataFrame, claim_id: str, doc_id: str = "doc_id", n: int = SHINGLE) -> DataFrame:
-    """(claim, doc_id) where the document's word text holds the claim's whole word text."""
+    """(claim, doc_id) where the document's word text holds the claim's whole word text.
+
+    A claim meets the documents that have its first ``n`` words as a shingle; a shorter
+    one those that have it as a shingle of its own length. Shingles travel as hashes, and
+    the texts of documents that met a claim are compared. A claim without words is in none.
+    """
     full = lambda x: F.concat(F.lit(" "), F.array_join(plain_words(x), " "), F.lit(" "))
-    c = claims.select(claim_id, full(F.col("text")).alias("claim"), F.get(shingles(F.col("text"), n), 0).alias("gram")).where("gram is not null")
-    keys = c.select("gram").distinct()
-    d = docs.select(doc_id, full(F.col("text")).alias("doc"), shingles(F.col("text"), n).alias("s"))
-    hit = d.select(doc_id, F.explode("s").alias("gram")).join(keys, "gram", "left_semi").distinct().join(c, "gram")
-    return hit.join(d.select(doc_id, "doc"), doc_id).where(F.col("doc").contains(F.col("claim"))).select(claim_id, doc_id).distinct()
+    words = plain_words(F.col("text"))
+    c = claims.select(claim_id, full(F.col("text")).alias("claim"), F.least(F.size(words), F.lit(n)).alias("k"), F.xxhash64(F.array_join(F.slice(words, 1, n), " ")).alias("gram")).where("k > 0")
+    hashed = lambda k: F.transform(shingles(F.col("text"), k), lambda g: F.xxhash64(g))
+    lengths = sorted(r["k"] for r in c.select("k").distinct().collect())  # at most n
+    d = None
+    for k in lengths or [n]:
+        rows = docs.select(doc_id, F.lit(k).alias("k"), F.explode(hashed(k)).alias("gram"))
+        d = rows if d is None else d.union(rows)
+    hit = d.join(c.select("k", "gram").distinct(), ["k", "gram"], "left_semi").distinct().join(c, ["k", "gram"])
+    return hit.join(docs.select(doc_id, full(F.col("text")).alias("doc")), doc_id).where(F.col("doc").contains(F.col("claim"))).select(claim_id, doc_id).distinct()
 
 
 def ladder(claims: DataFrame, blocks: DataFrame, bundle: str = "doc_id") -> DataFrame:

@@ -102,6 +102,6 @@ def shrunk(source_len: Column, now_len: Column, least_source: int = 200) -> Colu
     return (source_len >= least_source) & (now_len <= F.greatest(F.lit(120), F.floor(source_len * 0.35)))
 
 
-def rollup(rows: DataFrame, group: list[str], usable: Column, reasons: str | None = None) -> DataFrame:
-    """Counts, usable rate and mean scores by group, with the grand total where the group is null."""
+def rollup(rows: DataFrame, group: list[str], usable: Column) -> DataFrame:
+    """Counts and usable rate by group, with the grand total where the group is null."""
     return rows.rollup(*group).agg(F.count("*").alias("n"), F.bround(F.avg(usable.cast("int")), 4).alias("usable_rate"))

@@ -7,17 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compare_form, let
 
+#: Lengths that are summed up at a time.
+RUN = 256
 #: What ends a sentence, and what separates items in one.
 SENTENCE, ITEM = r"[。；;！？!?\r\n]+", r"[，,、]+"
 
 
+def _starts(lengths: Column) -> Column:
+    """Running totals before each length. Arrays grow by copies, so they grow in runs of RUN, and runs are put together once."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    totals = lambda n: F.aggregate(n, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / RUN).cast("int")), lambda b: totals(F.slice(lengths, b * RUN + 1, F.lit(RUN))))
+
+    def together(rs: Column) -> Column:
+        before = totals(F.transform(rs, lambda r: r["at"]))["all"]
+        return let(before, lambda at: F.flatten(F.transform(rs, lambda r, i: F.transform(r["all"], lambda x: x + F.get(at, i)))))
+
+    return let(runs, together)
+
+
 def _pieces(text: Column, cut: str) -> Column:
     """array of (start, piece): code points from 0, pieces between matches of ``cut``."""
     parts = F.split(text, cut, -1)
     seps = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
     lengths = lambda p, s: F.transform(p, lambda x, i: F.length(x) + F.coalesce(F.length(F.get(s, i)), F.lit(0)))
-    start = lambda n: F.aggregate(n, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-    return let(F.struct(parts.alias("p"), seps.alias("s")), lambda v: F.arrays_zip(start(lengths(v["p"], v["s"])).alias("start"), v["p"].alias("piece")))
+    return let(F.struct(parts.alias("p"), seps.alias("s")), lambda v: F.arrays_zip(let(lengths(v["p"], v["s"]), _starts).alias("start"), v["p"].alias("piece")))
 
 
 def pieces(docs: DataFrame, cut: str, id_col: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:

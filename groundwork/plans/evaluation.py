@@ -41,7 +41,13 @@ def evaluated(cases: DataFrame) -> DataFrame:
     clash = clash.groupBy("doc_id").agg(F.count("*").alias("conflicts"))
     signals = rank.bullet_signals(r.select("doc_id", F.explode("experience").alias("x")).select("doc_id", F.explode("x.bullets").alias("bullet")), "bullet")
     told = rank.expression_score(signals, "doc_id")
-    j = r.join(gaps, "doc_id", "left").join(clash, "doc_id", "left").join(told, "doc_id", "left").fillna(0, ["missing", "hard", "conflicts", "expression"])
+    value = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("value"))
+    told_posts = F.flatten(F.transform("experience", lambda x: F.array(value("company", x["company"]), value("period", x["period"]))))
+    told_schools = F.flatten(F.transform("education", lambda x: F.array(value("school", x["school"]), value("period", x["period"]))))
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    values = r.select("doc_id", "source", F.explode(F.concat(F.coalesce(told_posts, none), F.coalesce(told_schools, none), F.array(value("name", F.col("name"))))).alias("v")).select("doc_id", "source", "v.*")
+    invented = records.unsupported_values(values).select("doc_id", F.lit(True).alias("invented")).distinct()
+    j = r.join(invented, "doc_id", "left").join(gaps, "doc_id", "left").join(clash, "doc_id", "left").join(told, "doc_id", "left").fillna(0, ["missing", "hard", "conflicts", "expression"])
     zero = F.lit(0)
     shown = F.when(F.length("summary") >= 20, F.when(F.col("summary").rlike(L.SUMMARY_FIELDS), 10.0).otherwise(5.0)).when(F.length("summary") > 0, 3.0).otherwise(0.0)
     parts = sum((F.when(F.coalesce(F.size(c), zero) > 0, 1).otherwise(0) for c in ("education", "experience", "skills")), zero) + 1 + F.when(F.length("summary") > 5, 1).otherwise(0)
@@ -49,7 +55,7 @@ def evaluated(cases: DataFrame) -> DataFrame:
     j = j.withColumn("readability", layout).withColumn("completeness", rank.completeness_score(F.col("hard"), F.col("missing") - F.col("hard"), F.col("conflicts")))
     j = j.withColumn("expression", F.least(F.lit(50.0), F.bround(F.col("expression") + shown, 1)))
     response = F.least(F.lit(10.0), 4.0 + F.when(F.col("missing") > 0, 2.0).otherwise(0.0) + F.when(F.col("conflicts") > 0, 2.0).otherwise(0.0))
-    j = j.withColumn("response", response).withColumn("total", rank.total_score(F.lit(False), F.col("readability"), F.col("completeness"), F.col("expression"), F.col("response")))
+    j = j.withColumn("response", response).withColumn("total", rank.total_score(F.coalesce("invented", F.lit(False)), F.col("readability"), F.col("completeness"), F.col("expression"), F.col("response")))
     why = F.array_compact(F.array(F.when(F.col("missing") > 0, "missing_fields"), F.when(F.col("conflicts") > 0, "conflicts"), F.when(F.col("readability") < READABLE, "readability"), F.when(F.col("expression") < EXPRESSIVE, "expression"), F.when(~F.col("label").eqNullSafe(F.col("industry")), "industry_mismatch")))
     usable = F.col("total") >= USABLE
     return j.select(F.col("doc_id").alias("id"), F.col("industry").alias("expected_industry"), F.col("label").alias("industry"), "missing", "conflicts", "readability", "completeness", "expression", "response", "total", usable.alias("usable"), F.when(usable, F.array().cast("array<string>")).otherwise(why).alias("reasons"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, text as X
-from ..operators import dedup, evidence, guards, intervals, rank, segment
+from ..functions import fields, jsontext, text as X
+from ..operators import binding, dedup, evidence, guards, intervals, rank, rewrites, segment
 from ..sources import html, store
 
 QUERIES: dict = {}
@@ -80,9 +80,9 @@ _REDACT_SQL = r"regexp_replace(regexp_replace({x}, '[\p{{L}}\p{{N}}_.+-]+@[\p{{L
 _ID_SQL = r"regexp_replace(regexp_replace({x}, '(^|[^0-9])[0-9]{{15,18}}[0-9Xx]($|[^0-9])', '\1[ID]\2', 'g'), '(^|[^0-9])[0-9]{{15,18}}[0-9Xx]($|[^0-9])', '\1[ID]\2', 'g')"
 
 
-@query("pii_redact", f"select doc_id, substr({_ID_SQL.format(x=_REDACT_SQL.format(x='text'))}, 1, 500) as redacted from documents")
+@query("pii_redact", f"select doc_id, {_ID_SQL.format(x=_REDACT_SQL.format(x='text'))} as redacted from documents")
 def pii_redact(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.redact_pii(F.col("text")).alias("redacted"))
+    return _docs(spark, sf).select("doc_id", X.redact_pii(F.col("text"), 1 << 30).alias("redacted"))
 
 
 @query("pii_counts_by_lang", r"""select lang, sum(len(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}')))::bigint as mails,
@@ -303,13 +303,15 @@ def turn_alignment(spark, sf):
     return t.select("conv_id", "turn", F.round(X.covered_share(X.identity_bigrams(F.col("text")), X.identity_bigrams(F.col("was"))), 6).alias("overlap"))
 
 
-@query("keyword_alignment", r"""with t as (select conv_id, turn, lower(text) as l, lag(text) over (partition by conv_id order by turn) as req from conversations), k as (select conv_id, turn, l, list_distinct(list_filter(list_transform(regexp_extract_all(req, '[A-Za-z][A-Za-z0-9_+./-]{1,24}|[\x{4e00}-\x{9fff}]{2,8}'), lambda x: lower(x)),
-  lambda x: x not in ('and', 'with', 'for', 'the', 'you', 'will', 'have', 'years', 'experience', 'ability', 'plus'))) as ws from t where req is not null)
-select conv_id, turn, len(list_filter(ws, lambda x: contains(l, x)))::bigint as n_matched, case when len(ws) = 0 then 0 else round_even(100.0 * len(list_filter(ws, lambda x: contains(l, x))) / len(ws), 0) end::bigint as coverage from k where len(ws) <= 40""")
+@query("keyword_alignment", r"""with t as (select conv_id, turn, lower(text) as l, lag(text) over (partition by conv_id order by turn) as req from conversations),
+k as (select conv_id, turn, unnest(regexp_extract_all(req, '[A-Za-z][A-Za-z0-9_+./-]{1,24}|[\x{4e00}-\x{9fff}]{2,8}')) as w, generate_subscripts(regexp_extract_all(req, '[A-Za-z][A-Za-z0-9_+./-]{1,24}|[\x{4e00}-\x{9fff}]{2,8}'), 1) as i from t where req is not null),
+f as (select conv_id, turn, lower(w) as w, min(i) as i from k where lower(w) not in ('and', 'with', 'for', 'the', 'you', 'will', 'have', 'years', 'experience', 'ability', 'plus') group by conv_id, turn, lower(w)),
+r as (select *, row_number() over (partition by conv_id, turn order by i) as n from f), ws as (select conv_id, turn, list(w) as ws from r where n <= 40 group by conv_id, turn)
+select t.conv_id, t.turn, len(list_filter(coalesce(ws, []), lambda x: contains(l, x)))::bigint as n_matched, case when ws is null then 0 else round_even(100.0 * len(list_filter(ws, lambda x: contains(l, x))) / len(ws), 0) end::bigint as coverage
+from t left join ws using (conv_id, turn) where req is not null""")
 def keyword_alignment(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = _t(spark, sf, "conversations").withColumn("req", F.lag("text").over(w)).where("req is not null")
-    t = t.where(F.size(X.keywords(F.col("req"), 1 << 20)) <= 40)
     a = rank.alignment(t, "req", "text", shown=40)
     return a.select("conv_id", "turn", F.size("matched").cast("long").alias("n_matched"), "coverage")
 
@@ -343,21 +345,22 @@ def prefix60_dedup(spark, sf):
 _TOKENS = r"list_distinct(list_concat(case when length(x) < 2 then [x] else list_transform(range(1, length(x)), lambda i: substr(x, i, 2)) end, regexp_extract_all(x, '[a-zA-Z]{3,}')))"
 
 
-def _first_turns(spark, sf):
-    c = _t(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.substring("text", 1, 1 << 30).alias("text"))
+def _turns(spark, sf):
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "text")
 
 
-@query("near_dup_pairs", rf"""with c as (select conv_id, turn, regexp_replace(text, '\s+', '', 'g') as x from conversations), t as (select conv_id, turn, {_TOKENS} as t from c)
-select a.conv_id, a.turn as first, b.turn as second from t a join t b on a.conv_id = b.conv_id and a.turn < b.turn
+@query("near_dup_pairs", rf"""with c as (select concat_ws(':', source, n_chars // 100) as class, doc_id, regexp_replace(text, '\s+', '', 'g') as x from documents), t as (select class, doc_id, {_TOKENS} as t from c)
+select a.class, a.doc_id as first, b.doc_id as second from t a join t b on a.class = b.class and a.doc_id < b.doc_id
 where len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) > 0.65""")
 def near_dup_pairs(spark, sf):
-    return dedup.near_pairs(_first_turns(spark, sf), "conv_id", "turn", "text")
+    """Near pairs among the documents of a source that are about as long."""
+    docs = _docs(spark, sf).select(F.concat_ws(":", "source", F.floor(F.col("n_chars") / 100).cast("string")).alias("class"), "doc_id", "text")
+    return dedup.near_pairs(docs, "class", "doc_id", "text")
 
 
 @query("near_dup_kept")
 def near_dup_kept(spark, sf):
-    return dedup.near_duplicates(_first_turns(spark, sf), "conv_id", "turn", "text").select("conv_id", "turn", "kept")
+    return dedup.near_duplicates(_turns(spark, sf), "conv_id", "turn", "text").select("conv_id", "turn", "kept")
 
 
 @query("distinct_limited", rf"""with l as ({_LINES}), d as (select doc_id, pos::bigint as pos, piece, row_number() over (partition by doc_id, lower(piece) order by pos) as n from l where piece <> ''), k as (select doc_id, pos, row_number() over (partition by doc_id order by pos) as rank from d where n = 1)
@@ -520,4 +523,63 @@ def url_predicate(spark, sf):
 
 @query("html_visible_text")
 def html_visible_text(spark, sf):
-    return html.read_visible(_t(spark, sf, "pages")).select("page_id", "text")
+    return html.read_visible(_t(spark, sf, "pages"), most=None).select("page_id", "text")
+
+
+# Fields, rewrites and bindings
+
+
+@query("semantic_forms", r"""select doc_id, regexp_replace(regexp_replace(lower(text), '[，。；：、“”‘’（）()【】\[\],.;:!?！？\-_/\\"'']', '', 'g'), '\s+', '', 'g') as form from documents""")
+def semantic_forms(spark, sf):
+    return _docs(spark, sf).select("doc_id", fields.semantic_form(F.col("text")).alias("form"))
+
+
+@query("snippets", "select doc_id, case when length(trim(text)) <= 42 then trim(text) else rtrim(substr(trim(text), 1, 42)) || '...' end as snippet from documents")
+def snippets(spark, sf):
+    return _docs(spark, sf).select("doc_id", fields.snippet(F.col("text")).alias("snippet"))
+
+
+_PAIRS = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g')"
+_BIGRAMS = "list_distinct(list_transform(range(1, length({x})), lambda i: substr({x}, i, 2)))"
+
+
+@query("review_due", f"""with t as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as was from conversations), n as (select conv_id, turn, {_PAIRS.format(x="was")} as x, {_PAIRS.format(x="text")} as y from t where was is not null),
+g as (select conv_id, turn, {_BIGRAMS.format(x="x")} as a, {_BIGRAMS.format(x="y")} as b from n)
+select conv_id, turn, len(a) = 0 or len(b) = 0 or len(list_intersect(a, b)) / len(b) < 0.35 or len(list_intersect(a, b)) / len(a) < 0.45 as due from g""")
+def review_due(spark, sf):
+    """Whether each turn, taken as a rewrite of the one before it, needs a second look."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _turns(spark, sf).withColumn("was", F.lag("text").over(w)).where("was is not null")
+    return t.select("conv_id", "turn", rewrites.needs_review(F.col("was"), F.col("text")).alias("due"))
+
+
+@query("latin_anchors", r"""with t as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+./-]{1,30}')) as w from documents)
+select doc_id, count(distinct lower(w))::bigint as anchors from t where lower(w) not in ('the', 'and') and (regexp_matches(w, '[A-Z0-9]') or length(w) >= 6) group by doc_id""")
+def latin_anchors(spark, sf):
+    a = rewrites.technical_anchors(F.col("text"), [], [], ["the", "and"])
+    return _docs(spark, sf).select("doc_id", F.size(a).cast("long").alias("anchors")).where("anchors > 0")
+
+
+def _claims_and_blocks(spark, sf):
+    """Each conversation's last turn as claims, clause by clause, and its earlier turns as blocks."""
+    c = _turns(spark, sf).withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    claims = c.where("turn = last").select("conv_id", F.posexplode(F.split("text", r"[.\n]")).alias("claim_id", "text"))
+    blocks = c.where("turn < last").select("conv_id", F.col("turn").alias("block_id"), F.col("turn").alias("pos"), "text")
+    return claims, blocks
+
+
+@query("claim_overlaps", f"""with c as (select *, max(turn) over (partition by conv_id) as last from conversations),
+q as (select conv_id, unnest(string_split_regex(text, '[.\\n]')) as text, generate_subscripts(string_split_regex(text, '[.\\n]'), 1) - 1 as claim_id from c where turn = last),
+x as (select conv_id, claim_id, {_PAIRS.format(x="text")} as x from q), a as (select conv_id, claim_id, {_BIGRAMS.format(x="x")} as a from x),
+y as (select conv_id, turn, {_PAIRS.format(x="text")} as x from c where turn < last), b as (select conv_id, turn as block_id, {_BIGRAMS.format(x="x")} as b from y)
+select conv_id, claim_id::int as claim_id, block_id, round(len(list_intersect(a, b)) / len(a), 6) as share from a join b using (conv_id) where len(list_intersect(a, b)) > 0""")
+def claim_overlaps(spark, sf):
+    claims, blocks = _claims_and_blocks(spark, sf)
+    return binding.overlaps(claims, blocks, "conv_id").select("conv_id", "claim_id", "block_id", F.round("share", 6).alias("share"))
+
+
+@query("claim_bindings")
+def claim_bindings(spark, sf):
+    """Each claim's best block, with all blocks that bear it; the tests hold the tiers against hand-made cases."""
+    claims, blocks = _claims_and_blocks(spark, sf)
+    return binding.bound(claims.withColumn("kind", F.lit("bullets")), blocks, "conv_id").withColumn("similarity", F.round("similarity", 6))
