@@ -44,7 +44,7 @@ KINDS = {
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts that cannot match any pattern are let through at once.
-MAYBE = rf"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s{0,2}[=:]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+MAYBE = rf"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s{{0,2}}[=:]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 #: Attempts within the entity's own form; later ones lengthen the surrogate, so that a small form cannot run out.
 WIDE = 6
 
