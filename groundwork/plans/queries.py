@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields, jsontext, text as X
-from ..operators import binding, dedup, evidence, guards, intervals, rank, rewrites, segment
+from ..operators import binding, dedup, evidence, guards, intervals, rank, reports, rewrites, segment
 from ..sources import html, store
 
 QUERIES: dict = {}
@@ -583,3 +583,66 @@ def claim_bindings(spark, sf):
     """Each claim's best block, with all blocks that bear it; the tests hold the tiers against hand-made cases."""
     claims, blocks = _claims_and_blocks(spark, sf)
     return binding.bound(claims.withColumn("kind", F.lit("bullets")), blocks, "conv_id").withColumn("similarity", F.round("similarity", 6))
+
+
+# Reports
+
+
+_ISSUES = "select l_orderkey, l_linenumber as pos, l_linenumber % 3 as bullet_index, case l_returnflag when 'N' then null when 'A' then ' a ' else 'r' end as project, case l_linestatus when 'O' then 'High' when 'F' then case when l_quantity > 25 then 'low' else 'none' end end as severity from lineitem"
+
+
+def _issues(spark, sf):
+    """Lines of orders in the place of issues of documents."""
+    r, s = F.col("l_returnflag"), F.col("l_linestatus")
+    severity = F.when(s == "O", "High").when(s == "F", F.when(F.col("l_quantity") > 25, "low").otherwise("none"))
+    project = F.when(r == "A", " a ").when(r != "N", "r")
+    return _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") % 3).alias("bullet_index"), project.alias("project"), severity.alias("severity"))
+
+
+@query("issue_index", f"""with t as ({_ISSUES}) select l_orderkey, coalesce(nullif(trim(project), ''), '项目经历') as project, bullet_index, count(*) as n, min(pos) as first
+from t where bullet_index > 0 group by all""")
+def issue_index(spark, sf):
+    return reports.issue_index(_issues(spark, sf), "l_orderkey")
+
+
+@query("audit_summaries", f"""with t as ({_ISSUES}), c as (select l_orderkey, count(*) as issues, count(*) filter (lower(severity) = 'high') as high, count(*) filter (coalesce(lower(severity), '') not in ('high', 'low')) as medium, count(*) filter (lower(severity) = 'low') as low from t where pos < 6 group by 1),
+s as (select l_orderkey, l_linenumber, l_tax * 100 as x, row_number() over (partition by l_orderkey order by l_tax * 100, l_linenumber) as r from lineitem),
+w as (select l_orderkey, string_agg(printf('d%d:%.1f', l_linenumber, x), '、' order by r) as weakest from s where r <= 2 group by 1)
+select l_orderkey, weakest, coalesce(issues, 0) as issues, coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low from w left join c using (l_orderkey)""")
+def audit_summaries(spark, sf):
+    scores = _t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("pos"), F.concat(F.lit("d"), F.col("l_linenumber")).alias("dimension"), (F.col("l_tax") * 100).alias("score"))
+    return reports.audit_summary(_issues(spark, sf).where("pos < 6"), scores, "l_orderkey")
+
+
+@query("rewrite_counts", """select l_orderkey, count(*) filter (l_returnflag = 'R' and l_linenumber % 2 = 1) as rewrites from lineitem group by 1""")
+def rewrite_counts(spark, sf):
+    action = F.when(F.col("l_returnflag") == "R", "replace").otherwise("keep")
+    path = F.when(F.col("l_linenumber") % 2 == 1, F.format_string("experience[0].bullets[%d]", "l_linenumber")).otherwise("meta.name")
+    return reports.rewrite_counts(_t(spark, sf, "lineitem").select("l_orderkey", action.alias("action"), path.alias("path")), "l_orderkey")
+
+
+@query("patches_in_batch", "select l_orderkey, l_linenumber from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F')")
+def patches_in_batch(spark, sf):
+    batch = _t(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return reports.in_batch(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), batch, ["l_orderkey"])
+
+
+_RAW = "list_distinct(list_transform(range(1, length(x)), lambda i: substr(x, i, 2)))"
+
+
+@query("closest_sentences", f"""with c as (select *, max(turn) over (partition by conv_id) as last from conversations),
+q as (select conv_id, generate_subscripts(string_split_regex(text, '[.\\n]'), 1) - 1 as bullet_id, regexp_replace(unnest(string_split_regex(text, '[.\\n]')), '[\\s\\p{{Z}}]+', '', 'g') as x from c where turn = last),
+a as (select conv_id, bullet_id, {_RAW} as a from q), b as (select conv_id, turn as pos, {_RAW} as b from (select conv_id, turn, regexp_replace(text, '[\\s\\p{{Z}}]+', '', 'g') as x from c where turn < last)),
+p as (select conv_id, bullet_id, pos, len(list_intersect(a, b)) / len(a) as coverage, len(list_intersect(a, b)) / len(b) as recall from a join b using (conv_id) where len(list_intersect(a, b)) > 0)
+select conv_id, bullet_id::int as bullet_id, pos, round(coverage, 6) as coverage, round(recall, 6) as recall from p qualify row_number() over (partition by conv_id, bullet_id order by p.coverage desc, p.recall desc, pos) = 1""")
+def closest_sentences(spark, sf):
+    claims, blocks = _claims_and_blocks(spark, sf)
+    found = reports.closest_sentences(claims.withColumnRenamed("claim_id", "bullet_id"), blocks, "conv_id")
+    return found.withColumns({"coverage": F.round("coverage", 6), "recall": F.round("recall", 6)})
+
+
+@query("case_means", """select lang, grouping(lang) = 1 as whole, count(*) as cases, count(*) filter (n_chars % 2 = 0) as exact, count(*) filter (n_chars > 500) as conserved,
+round(sum(doc_id % 8)::double / count(*) / 8, 4) as mean_order_accuracy, round(sum(n_chars % 4)::double / count(*) / 4, 4) as mean_adjacency_accuracy from documents group by rollup (lang)""")
+def case_means(spark, sf):
+    c = _docs(spark, sf).select("lang", (F.col("n_chars") % 2 == 0).alias("exact"), (F.col("n_chars") > 500).alias("conserved"), (F.col("doc_id") % 8 / 8).alias("order_accuracy"), (F.col("n_chars") % 4 / 4).alias("adjacency_accuracy"))
+    return reports.case_means(c, "lang")
