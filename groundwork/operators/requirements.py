@@ -33,6 +33,11 @@ ACTION = "负责|主导|牵头|参与|协助|支持|组织|推动|设计|开发|
 METHOD = r"通过|采用|使用|基于|借助|运用|利用|结合|按照|围绕|依托|针对|using|via|based\s+on|with\s+the\s+use\s+of"
 OUTPUT = "输出|交付|上线|发布|形成|完成|实现|达成|获得|发表|获奖|覆盖|解决|提升|降低|增长|减少|缩短|节省|产出|delivered|launched|published|achieved|improved|reduced|increased|resolved"
 NEGATIVE = r"没有(?:相关|对应|这方面|此类|任何)?(?:经验|经历|技能|资质|证书|背景)|无(?:相关|对应|该领域|工作|项目)?(?:经验|经历|技能|资质|证书|背景)|未曾|未参与|不具备|不会|未使用|没有做过|no\s+(?:relevant\s+)?experience|never\s+used"
+# Verbs that begin an aspect of its own after a word for "and".
+ASPECT_STARTS = ("负责", "参与", "主导", "推动", "协助", "支持", "完成", "输出", "交付", "搭建", "设计", "开发", "构建", "管理", "分析", "规划", "制定", "实施", "执行", "维护", "使用", "熟悉", "掌握", "具备", "能够", "持有", "build", "design", "develop", "manage", "analyze", "deliver", "use", "using")
+# Neighbours that make a sign for "and" part of a word.
+JOINED = r"(?<![共调中饱温亲柔缓总])和(?![平谐解声睦蔼善气服])|(?<![参赠授])与(?!会)"
+STATUSES = ("missing", "partial", "supported")
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -104,6 +109,27 @@ def extracted(targets: DataFrame, id_col: str = "doc_id", text: str = "text", li
     return rows.select(id_col, "pos", "requirement", "core", "priority", "kind")
 
 
+def aspects(x: Column) -> Column:
+    """All that a requirement asks for: an array of arrays, each the alternatives of which one is enough.
+
+    Marks between clauses and words for "and" part the aspects; a bare 和 or 与 does so
+    only behind an earlier mark, and never within a word. Null and blank texts have one
+    empty aspect.
+    """
+    sign = r"[\x{4e00}-\x{9fff}A-Za-z0-9]"
+    verbs = "|".join(ASPECT_STARTS)
+    value = F.regexp_replace(cleaned(x), rf"(?i)(?:并且|同时|且|并)(?={verbs})|(?<={sign})以及(?={sign})|\s+and\s+", "；")
+
+    def parted(v: Column) -> Column:
+        head = F.regexp_extract(v, r"^[^，,；;、]*", 0)
+        tail = F.regexp_replace(F.substr(v, F.length(head) + 1), rf"(?<={sign})(?:{JOINED})(?={sign})", "；")
+        trimmed = lambda parts: F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+        groups = F.transform(trimmed(F.split(F.concat(head, tail), "[，,；;、]+")), lambda g: trimmed(F.split(g, r"(?i)\s+or\s+|或者|或")))
+        return X.let(F.filter(groups, lambda g: F.size(g) > 0), lambda gs: F.when(F.size(gs) > 0, gs).otherwise(F.array(F.array(v))))
+
+    return X.let(value, parted)
+
+
 def degree_level(x: Column) -> Column:
     """1 college to 4 doctor; 0 none named; the highest named."""
     out = F.lit(0)
@@ -119,17 +145,17 @@ def years_needed(x: Column) -> Column:
 def assessed(requirements: DataFrame, claims: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each requirement (id, pos, requirement, core, kind) against its bundle's claims (id, path, claim): status and best path.
 
-    Contained core, or a share of bigrams of 0.72 told as an action, supports; 0.20
+    Contained core of three characters or more, or a share of bigrams of 0.72 told as an action, supports; 0.20
     relates; a negated claim supports nothing. Degrees compare by rank. Of equal
     shares the claim first by path counts.
     """
     j = requirements.join(claims, id_col, "left")
-    direct = F.col("core").isNotNull() & X.match_form(F.col("claim")).contains(F.col("core"))
+    direct = (F.length("core") >= 3) & X.match_form(F.col("claim")).contains(F.col("core"))
     share = X.covered_share(X.let(F.col("core"), lambda c: X.grams(c, 2, True)), X.match_bigrams(F.col("claim")))
     negative = F.coalesce(F.col("claim").rlike(f"(?i){NEGATIVE}"), F.lit(False))
     need, have = degree_level(F.col("requirement")), degree_level(F.col("claim"))
     met = (F.col("kind") == "qualification") & (need > 0) & (have >= need)
-    score = F.when(F.col("claim").isNull() | negative, 0.0).when(direct | met, 1.0).otherwise(share)
+    score = F.when(F.col("claim").isNull() | negative, 0.0).when(direct | met, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
     acted = F.coalesce(F.col("claim").rlike(f"(?i){ACTION}"), F.lit(False))
     j = j.withColumn("score", score).withColumn("acted", acted)
     w = Window.partitionBy(id_col, "pos").orderBy(F.col("score").desc(), F.col("acted").desc(), "path")
@@ -138,6 +164,33 @@ def assessed(requirements: DataFrame, claims: DataFrame, id_col: str = "doc_id")
     return best.select(id_col, "pos", "requirement", "kind", status.alias("status"), F.when(F.col("score") >= 0.2, F.col("path")).alias("path"), F.bround("score", 4).alias("score"))
 
 
+def assessed_by_aspects(requirements: DataFrame, claims: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Each requirement (id, pos, requirement) by its ``aspects``: status, paths of the claims that count, gaps.
+
+    Of alternatives the best counts, the first of equal ones. Supported: all aspects are;
+    partial: one is or is related; else missing. ``gaps``: the first three aspects that
+    are not supported. Id and pos name a requirement. A null or blank one is missing
+    without gaps; other columns are left out.
+    """
+    rows = requirements.select(id_col, "pos", "requirement", F.posexplode(aspects(F.col("requirement"))).alias("__group", "__any"))
+    rows = rows.select(id_col, F.col("pos").alias("__pos"), F.col("requirement").alias("__whole"), "__group", F.posexplode("__any").alias("__at", "requirement"))
+    whole = rows.select(id_col, "__pos", "__whole").distinct()
+    place = F.struct("__pos", "__group", "__at")
+    rows = rows.select(id_col, place.alias("pos"), "requirement", core(F.col("requirement")).alias("core"), kind(F.col("requirement")).alias("kind"))
+    met = assessed(rows, claims, id_col)
+    level = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")) - 1
+    best = F.max_by(F.struct(level.alias("level"), "requirement", "path"), F.struct(level, "score", -F.col("pos.__at")))
+    groups = met.groupBy(id_col, F.col("pos.__pos").alias("__pos"), F.col("pos.__group").alias("__group")).agg(best.alias("b"))
+    listed = F.array_sort(F.collect_list(F.struct("__group", "b.level", "b.requirement", "b.path")))
+    out = groups.groupBy(id_col, "__pos").agg(listed.alias("gs"), F.min("b.level").alias("low"), F.max("b.level").alias("high"))
+    status = F.when(F.col("low") == 2, "supported").when(F.col("high") > 0, "partial").otherwise("missing")
+    paths = F.array_distinct(F.array_compact(F.transform(F.filter("gs", lambda g: g["level"] > 0), lambda g: g["path"])))
+    gaps = F.array_distinct(F.transform(F.filter("gs", lambda g: (g["level"] < 2) & (g["requirement"] != "")), lambda g: g["requirement"]))
+    out = out.select(F.col(id_col).alias("__id"), F.col("__pos").alias("pos"), status.alias("status"), paths.alias("paths"), F.slice(gaps, 1, 3).alias("gaps"))
+    same = F.col("__id").eqNullSafe(F.col(id_col)) & F.col("pos").eqNullSafe(F.col("__pos"))
+    return out.join(whole, same).select(id_col, "pos", F.col("__whole").alias("requirement"), "status", "paths", "gaps")
+
+
 def claim_gaps(claims: DataFrame, id_col: str = "doc_id", limit: int = 4) -> DataFrame:
     """The first ``limit`` claims that lack action, method or outcome, with what they lack."""
     c = F.coalesce(F.col("claim"), F.lit(""))
