@@ -122,6 +122,20 @@ def test_near_duplicates_keep_the_first(spark):
     assert [tuple(r) for r in dedup.near_pairs(rows, "k", "pos", "t").collect()] == [("d", 0, 1)]
 
 
+def test_subsumed_rows_are_told_apart_by_their_fields(spark):
+    """Rows that share a position, or have none, each count for themselves; null is unfilled; no key, no part."""
+    rows = [("a", 1, "x", "1"), ("a", 1, "x", ""), ("a", None, None, "1"), ("a", 2, "", ""), ("a", 3, "y", ""), ("b", 4, "", ""), (None, 5, "x", ""), (None, 6, "x", "1")]
+    rows = spark.createDataFrame(rows, "k string, pos int, f string, g string")
+    assert sorted((r["pos"], r["f"]) for r in dedup.subsumed(rows, "k", "pos", ["f", "g"]).collect()) == [(1, "x"), (3, "y"), (4, ""), (5, "x"), (6, "x")]
+
+
+def test_subsumed_rows_of_one_key_are_not_compared_pair_by_pair(spark):
+    n = F.col("id")
+    rows = spark.range(60_000).select(F.lit("k").alias("k"), n.alias("pos"), (n % 7).cast("string").alias("f"), F.when(n % 2 == 0, "").otherwise((n % 11).cast("string")).alias("g"))
+    assert dedup.subsumed(rows, "k", "pos", ["f", "g"]).where("g = ''").count() == 0
+    assert dedup.subsumed(rows, "k", "pos", ["f", "g"]).count() == 30_000
+
+
 def test_alignment(spark):
     rows = spark.createDataFrame([("熟悉 Python and SQL", "用 python 建模"), ("", "x"), (None, None)], "req string, text string")
     got = [(r["matched"], r["missing"], r["coverage"]) for r in rank.alignment(rows, "req", "text").collect()]
