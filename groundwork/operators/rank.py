@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,8 +100,11 @@ def total_score(fabricated: Column, *parts: Column) -> Column:
 
 
 def shrunk(source_len: Column, now_len: Column, least_source: int = 200) -> Column:
-    """Whether a candidate lost too much text: at most 35 % of a source of ``least_source`` characters, or 120."""
-    return (source_len >= least_source) & (now_len <= F.greatest(F.lit(120), F.floor(source_len * 0.35)))
+    """Whether a candidate lost too much text: at most 35 % of a source of ``least_source`` characters, or 120.
+
+    The share is a decimal: in binary 35 % of 360 falls short of 126.
+    """
+    return (source_len >= least_source) & (now_len <= F.greatest(F.lit(120), F.floor(source_len * F.lit(Decimal("0.35")))))
 
 
 def rollup(rows: DataFrame, group: list[str], usable: Column) -> DataFrame:

@@ -207,6 +207,15 @@ def test_reading_order_ignores_input_order(spark):
     assert layout.order_measures(list("abc"), list("acb")) == {"exact": 0.0, "conserved": 1.0, "lcs": 2 / 3, "adjacent": 0.0}
 
 
+def test_shrunk_takes_the_share_exactly(spark):
+    """35 % of 360 is 126, of 380 it is 133, of 401 it is 140.35; null lengths tell nothing, short sources are never shrunk."""
+    rows = spark.createDataFrame([(360, 126), (360, 127), (380, 133), (401, 140), (401, 141), (200, 120), (199, 0), (None, 5)], "n long, m int")
+    got = rows.select(rank.shrunk(F.col("n"), F.col("m"))).collect()
+    assert [r[0] for r in got] == [True, False, True, True, False, True, False, None]
+    every = spark.range(200, 100_000).select("id", rank.shrunk(F.col("id"), (F.col("id") * 35 / 100 + 1e-6).cast("int")).alias("at"), rank.shrunk(F.col("id"), (F.col("id") * 35 / 100 + 1e-6).cast("int") + 1).alias("above"))
+    assert every.where("not at").count() == 0 and every.where("id > 343 and above").count() == 0
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame([("mail a@b.com",)], "text string").write.parquet(str(src))
