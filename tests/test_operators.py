@@ -110,6 +110,11 @@ def test_interval_union_joins_neighbours(spark):
     assert {r["k"]: (r["months"], r["years"]) for r in intervals.union_months(rows, "k").collect()} == {"a": (8, 1), "b": (1, 1)}
 
 
+def test_interval_union_keeps_gaps_beside_equal_intervals(spark):
+    rows = spark.createDataFrame([(k, s, e) for k in range(50) for s, e in [(1, 2), (10, 12), (10, 12), (10, 12), (20, 20), (20, 20)]], "k int, start int, end int").repartition(7)
+    assert {(r["months"], r["years"]) for r in intervals.union_months(rows, "k").collect()} == {(6, 1)}
+
+
 def test_overlaps_come_once(spark):
     rows = spark.createDataFrame([("a", 1, 0, 100), ("a", 2, 50, 60), ("a", 3, 61, 61), ("a", 4, 200, 201)], "k string, o int, start int, end int")
     got = sorted(tuple(r) for r in intervals.overlapping(rows, "k", "o").collect())
