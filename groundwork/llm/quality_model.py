@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over characters, four at a time: invented or rare words are no reason to
-reject a text, odd spelling, shouting and symbol soup are. It learns from a bounded
-sample of trusted documents (``sample``), shared out evenly over languages; all else,
-the thresholds too, covers every document.
+reject a text, odd spelling, shouting and symbol soup are. It learns from every trusted
+text, each once, but one in five, and those judge: the thresholds come from them. A bit
+for each document says which ones teach, so that neither texts nor ids travel for it.
+A caller may ask for a bounded sample to learn from (``sample``); nothing here does.
 
 Scoring is by joins. Documents are taken in blocks of neighbouring rows; a block gives
 its distinct n-grams, which are joined, spread over the cluster by n-gram, with the
@@ -37,6 +38,12 @@ BITS = 15
 BLOCKS = ((0, 4096), *((1 << k, 1 << (27 - k - 2)) for k in range(15, 23, 2)), (1 << 23, 1))
 #: Characters of a text that are packed at a time.
 STEP = 1 << 20
+#: One in so many trusted texts judges and does not teach.
+JUDGES = 5
+#: Bits of a row's number in its file that one bitmap of teaching rows covers.
+MARKED = 15
+#: N-grams of teaching texts that are counted at a time.
+HELD = 1 << 21
 #: A language with fewer judges, trusted documents that did not teach, takes no limit below that of all.
 LEAST_JUDGES = 20
 
@@ -98,10 +105,22 @@ def _suffix(g, k: int):
 
 def _counted(sample: DataFrame, letters: Alphabet) -> DataFrame:
     def run(batches):
+        held, room = [], HELD
+
+        def out():
+            g, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "c"])
+
         for b in batches:
-            all_ = [letters.grams(t) for t in texts(b.column(0))]
-            g, n = np.unique(np.concatenate(all_) if all_ else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "c"])
+            for t in texts(b.column(0)):
+                for k in range(0, len(t), STEP):
+                    held.append(letters.grams(t[max(k - ORDER + 1, 0) : k + STEP])[ORDER - 1 if k else 0 :])
+                    room -= len(held[-1])
+                    if room <= 0:
+                        yield out()
+                        held, room = [], HELD
+        if held:
+            yield out()
 
     return sample.select("text").mapInArrow(lean(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -249,6 +268,44 @@ def trusted(labels: DataFrame) -> DataFrame:
     return good.where("quality = 1").select("doc_id")
 
 
+def teaching(docs: DataFrame, good: DataFrame, folder: str) -> tuple[DataFrame, list[int]]:
+    """The texts (text) of all ``good`` ids that teach, each once, and the digests of the languages' first judges.
+
+    ``docs`` is read from files. Copies are on one side, as ``judges`` tells by their
+    digest. Ids, digests and places travel to find a text's first place; then one bit a
+    row comes to the driver and goes with the tasks that read the texts, in bitmaps of
+    ``1 << MARKED`` rows of a file, and only where a row teaches.
+    """
+    file, row = F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row")
+    named = docs.where("length(text) > 0").select("doc_id", "lang", F.xxhash64("text").alias("digest"), file, row)
+    named = written(named.join(good, "doc_id", "left_semi").select("lang", "digest", "file", "row"), f"{folder}/named")
+    first = sorted({r["digest"] for r in named.groupBy("lang").agg(F.min("digest").alias("digest")).collect()})  # one row a language
+    place = named.where(~judges(F.col("digest"), first)).groupBy("digest").agg(F.min(F.struct("file", "row")).alias("at")).select("at.*")
+    bit = F.col("row").bitwiseAND(F.lit((1 << MARKED) - 1))
+    bits = place.groupBy("file", F.shiftright("row", MARKED).alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"), F.max(bit).alias("last"))
+    bits = bits.select("file", "part", F.substring("bits", 1, F.shiftright("last", 3).cast("int") + 1).alias("bits"))
+    marks = {(r["file"], r["part"]): bytes(r["bits"]) for r in bits.collect()}
+
+    def run(batches):
+        for b in batches:
+            files, rows = b.column(0).to_numpy(), b.column(1).to_numpy()
+            parts, at = rows >> MARKED, rows & ((1 << MARKED) - 1)
+            mine = np.zeros(len(rows), bool)
+            for key in set(zip(files.tolist(), parts.tolist(), strict=True)):
+                here = np.flatnonzero((files == key[0]) & (parts == key[1]))
+                flags = np.frombuffer(marks.get(key, b""), np.uint8)
+                here = here[at[here] >> 3 < len(flags)]
+                mine[here] = flags[at[here] >> 3] >> (at[here] & 7).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays([b.column(2).filter(pa.array(mine))], ["text"])
+
+    return docs.select(file, row, "text").mapInArrow(lean(run), "text string"), first
+
+
+def judges(digest, first: list[int]):
+    """Whether a trusted text of this digest judges: one in ``JUDGES`` does, and each language's first."""
+    return (F.pmod(digest, F.lit(JUDGES)) == 0) | digest.isin(first)
+
+
 def trusted_sample(docs: DataFrame, good: DataFrame, sample: int, folder: str) -> DataFrame:
     """Up to ``sample`` documents of ``good`` ids, the languages in turn, by the order of their ids' digests, each text once.
 
@@ -285,9 +342,12 @@ def thresholds(scores: DataFrame, upper: float, reach: float, short: float) -> d
     return out
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, upper: float = 0.998, reach: float = 6.0, short: float = 3.0, with_text: bool = False) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, sample: int | None = None, upper: float = 0.998, reach: float = 6.0, short: float = 3.0, with_text: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, lang and any other columns) to its columns, n, nats, perplexity, most, kept.
 
+    The model learns from all trusted texts that do not judge, or from ``sample`` documents
+    at most if that is given.
+
     ``kept``: nats, the log of the perplexity a character, is at most ``most``, the
     language's threshold plus ``short`` / sqrt(n); see ``thresholds``. A language without
     judges, or a null one, takes the threshold of all. Null and empty texts have no
@@ -300,14 +360,21 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, upper: flo
     small_batches(spark)
     docs = from_files(docs, f"{folder}/docs")
     good = written(trusted(labels), f"{folder}/good")
-    picked = trusted_sample(docs, good, sample, folder)
+    first: list[int] = []
+    if sample is None:
+        picked, first = teaching(docs, good, folder)
+    else:
+        picked = trusted_sample(docs, good, sample, folder)
     model = train(picked, f"{folder}/model")
     carried = [c for c in docs.columns if c not in ("text", "n", "nats", "perplexity", "most", "kept")]
     digested = docs.withColumn("__digest", F.xxhash64("text"))
     out = written(scored(digested, model, f"{folder}/scoring", [*carried, "__digest"], with_text), f"{folder}/scored")
-    taught = F.broadcast(picked.select(F.xxhash64("text").alias("__digest"), F.lit(True).alias("taught")).distinct())
     scores = out.where("n > 0").join(good, "doc_id", "left_semi").groupBy("lang", "__digest").agg(F.min("n").alias("n"), F.min("nats").alias("nats"))
-    scores = scores.join(taught, "__digest", "left").withColumn("taught", F.coalesce("taught", F.lit(False)))
+    if sample is None:
+        scores = scores.withColumn("taught", ~judges(F.col("__digest"), first))
+    else:
+        taught = F.broadcast(picked.select(F.xxhash64("text").alias("__digest"), F.lit(True).alias("taught")).distinct())
+        scores = scores.join(taught, "__digest", "left").withColumn("taught", F.coalesce("taught", F.lit(False)))
     limits = thresholds(written(scores, f"{folder}/scores"), upper, reach, short)
     known = [x for lang, m in limits.items() if lang is not None for x in (F.lit(lang), F.lit(float(m)))]
     overall = F.lit(float(limits.get(None, "inf")))

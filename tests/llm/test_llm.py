@@ -538,6 +538,24 @@ def test_thresholds_come_from_all_trusted_documents(spark, tmp_path):
     assert abs(most - at(own, 0.95)) < 1e-6 and all(abs(r["perplexity"] - np.exp(r["nats"])) < 1e-9 for r in got)
 
 
+def test_quality_learns_from_all_trusted_texts(spark, tmp_path, monkeypatch):
+    """More than any sample, in several files of which one has more rows than a bitmap; judges teach nothing, copies are one text."""
+    rows = spark.range(45_000).selectExpr("id as doc_id", "if(id % 1000 = 7, null, concat('the text of ', id % 40000, ' a')) as text", "if(id % 9 = 0, 'ru', 'en') as lang")
+    rows.where("doc_id < 40000").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    rows.where("doc_id >= 40000").repartition(3).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.range(45_000).selectExpr("id as doc_id", "int(id % 10 <> 3) as quality")
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda picked, folder, train=quality_model.train: (seen.append(picked.collect()), train(picked, folder))[1])
+    got = quality_model.quality(docs, labels).where("n > 0").groupBy("doc_id").count()
+    assert got.count() == 44_955
+    taught = [r["text"] for r in seen[0]]
+    good = docs.where("doc_id % 10 <> 3 and text is not null").withColumn("d", F.xxhash64("text"))
+    first = [r["d"] for r in good.groupBy("lang").agg(F.min("d").alias("d")).collect()]
+    want = {r["text"] for r in good.where((F.expr("pmod(d, 5)") != 0) & ~F.col("d").isin(first)).collect()}
+    assert len(taught) == len(want) > 28_000 and set(taught) == want
+
+
 def test_document_scores_against_a_plain_model(spark, tmp_path, monkeypatch):
     """Whole texts, blocks of every kind, characters far beyond the basic plane, repeated rows; not read from files."""
     monkeypatch.setattr(quality_model, "BLOCKS", ((0, 8), (64, 3), (256, 2), (2048, 1)))
