@@ -556,6 +556,16 @@ def test_quality_learns_from_all_trusted_texts(spark, tmp_path, monkeypatch):
     assert len(taught) == len(want) > 28_000 and set(taught) == want
 
 
+def test_pipeline_stage_learns_from_all_trusted_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(quality_model, "trusted_sample", lambda *a: pytest.fail("a sample teaches"))
+    documents(spark, [f"the cat sat on mat {i % 70} and saw dog {i}." for i in range(90)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).where("doc_id < 80").count() == 80
+
+
 def test_document_scores_against_a_plain_model(spark, tmp_path, monkeypatch):
     """Whole texts, blocks of every kind, characters far beyond the basic plane, repeated rows; not read from files."""
     monkeypatch.setattr(quality_model, "BLOCKS", ((0, 8), (64, 3), (256, 2), (2048, 1)))
