@@ -2,7 +2,10 @@
 
 import io
 import json
+import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from groundwork.functions import jsontext
@@ -127,6 +130,24 @@ def test_near_duplicates_keep_the_first(spark):
     assert [tuple(r) for r in dedup.near_pairs(rows, "k", "pos", "t").collect()] == [("d", 0, 1)]
 
 
+@pytest.mark.parametrize("held", [1 << 22, 200])
+def test_near_pairs_are_all_pairs_above_the_limit(spark, held):
+    """One block and many; copies, rows that share a position, long texts, and rows without key, position or text."""
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdefgh ,。数据") for _ in range(rnd.choice([1, 2, 12, 40]))) for _ in range(12)] + [" ".join(f"w{i * k}" for i in range(9_000)) for k in (1, 1, 3)]
+    edit = lambda t: t if rnd.random() < 0.3 else t[: rnd.randrange(len(t))] + rnd.choice("xyZ ") + t[rnd.randrange(len(t)) :]
+    rows = [(rnd.choice(["k", "l"]), rnd.randrange(60), edit(t)) for t in base for _ in range(8)] + [(None, 1, base[3]), (None, 2, base[3]), ("k", None, base[3]), ("k", 70, ""), ("k", 71, " "), ("k", 72, None), ("k", 73, None)]
+
+    def tokens(t):
+        t = re.sub(r"\s+", "", t or "")
+        return {t[i : i + 2] for i in range(max(len(t) - 1, min(len(t), 1)))} | set(re.findall("[a-zA-Z]{3,}", t))
+
+    sets = [(k, p, tokens(t)) for k, p, t in rows if k and p is not None and tokens(t)]
+    want = Counter((k, p, q) for k, p, a in sets for m, q, b in sets if k == m and p < q and len(a & b) / len(a | b) > 0.65)
+    got = Counter(tuple(r) for r in dedup.near_pairs(spark.createDataFrame(rows, "k string, pos int, t string"), "k", "pos", "t", held=held).collect())
+    assert got == want and len(want) > 50
+
+
 def test_subsumed_rows_are_told_apart_by_their_fields(spark):
     """Rows that share a position, or have none, each count for themselves; null is unfilled; no key, no part."""
     rows = [("a", 1, "x", "1"), ("a", 1, "x", ""), ("a", None, None, "1"), ("a", 2, "", ""), ("a", 3, "y", ""), ("b", 4, "", ""), (None, 5, "x", ""), (None, 6, "x", "1")]
