@@ -19,6 +19,9 @@ each less an allowance for short texts that a document to be judged gets too.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, scratch, small_batches, texts, tidy, written
+from .common import lean, numbered, scratch, small_batches, texts, tidy, written
 
 ORDER = 4
 #: Bits of a character in a packed n-gram.
@@ -320,25 +323,44 @@ def trusted_sample(docs: DataFrame, good: DataFrame, sample: int, folder: str) -
     return written(picked.dropDuplicates(["text"]), f"{folder}/sample")
 
 
-def thresholds(scores: DataFrame, upper: float, reach: float, short: float) -> dict[str | None, float]:
-    """Limits by language from trusted documents' ``scores`` (lang, n, nats, taught); None stands for all languages together.
+def quantiles(rows: DataFrame, shares: tuple[float, ...], path: str) -> dict[tuple, tuple[int, dict[float, float]]]:
+    """Of each series of ``rows`` (series, x, tie) its number of rows and, for each share, the least x that so many rows do not exceed.
+
+    Exact: rows are ranked by ranges, and those at the ranks sought are looked up.
+    """
+    ranked = numbered(rows, F.col("series"), F.col("x"), F.col("tie"), path=path)
+    spans = ranked.groupBy("series").agg(F.min("rank").alias("start"), F.count("*").alias("n")).collect()  # one row a series
+    place = {(tuple(r["series"]), q): r["start"] + max(math.ceil(Fraction(str(q)) * r["n"]), 1) - 1 for r in spans for q in shares}
+    at = {r["rank"]: r["x"] for r in ranked.where(F.col("rank").isin(sorted(set(place.values())))).collect()}  # one row a series and share
+    return {tuple(r["series"]): (r["n"], {q: at[place[tuple(r["series"]), q]] for q in shares}) for r in spans}
+
+
+def thresholds(scores: DataFrame, upper: float, reach: float, short: float, folder: str) -> dict[str | None, float]:
+    """Limits by language from trusted documents' ``scores`` (lang, __digest, n, nats, taught); None stands for all languages together.
 
     The limit is the ``upper`` quantile of the judges, the documents that did not teach.
     Where they are too few for it, fewer than 1 / (1 - upper), it lies beyond the highest
     by ``reach`` times the distance of the median to the upper decile of all trusted
-    documents, over the root of their number.
+    documents, over the root of their number. Quantiles are those of all rows, never of a summary.
     """
-    x, judge = F.col("nats") - short / F.sqrt(F.greatest("n", F.lit(1))), ~F.col("taught")
-    rows = scores.select("lang", judge.alias("judge"), x.alias("x"), F.when(judge, x).alias("own"))
-    quantile = lambda c, q: F.percentile_approx(c, q, 10000)
-    cut = [F.count("own").alias("judges"), quantile("own", upper).alias("high"), F.max("own").alias("top"), (quantile("x", 0.9) - quantile("x", 0.5)).alias("spread")]
-    every = rows.agg(F.count("x").alias("rows"), *cut).first()
-    if not every["judges"] or every["judges"] == every["rows"]:
+    x, lang, judge = F.col("nats") - short / F.sqrt(F.greatest("n", F.lit(1))), F.col("lang"), ~F.col("taught")
+    name = lambda every, own: F.struct(F.lit(every).alias("every"), (F.lit(None).cast("string") if every else lang).alias("lang"), F.lit(own).alias("own"))
+    names = [name(True, False), F.when(judge, name(True, True)), F.when(lang.isNotNull(), name(False, False)), F.when(lang.isNotNull() & judge, name(False, True))]
+    rows = scores.select(F.explode(F.array_compact(F.array(*names))).alias("series"), x.alias("x"), F.col("__digest").alias("tie"))
+    found = quantiles(rows, (upper, 1.0, 0.9, 0.5), f"{folder}/ranked")
+
+    if (True, None, True) not in found or found[True, None, True][0] == found[True, None, False][0]:
         return {}
-    limit = lambda r: r["high"] if r["judges"] * (1 - upper) >= 1 else r["top"] + reach * every["spread"] / r["judges"] ** 0.5
-    out: dict[str | None, float] = {None: limit(every)}
-    for r in rows.where("lang is not null").groupBy("lang").agg(*cut).where("judges > 0").collect():  # one row a language
-        out[r["lang"]] = limit(r) if r["judges"] >= LEAST_JUDGES else max(limit(r), out[None])
+    spread = found[True, None, False][1][0.9] - found[True, None, False][1][0.5]
+
+    def limit(every: bool, of: str | None) -> float:
+        n, own = found[every, of, True]
+        return own[upper] if n * (1 - upper) >= 1 else own[1.0] + reach * spread / n**0.5
+
+    out: dict[str | None, float] = {None: limit(True, None)}
+    for every, of, own in found:
+        if own and not every:
+            out[of] = limit(False, of) if found[False, of, True][0] >= LEAST_JUDGES else max(limit(False, of), out[None])
     return out
 
 
@@ -375,7 +397,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int | None = None, upper
     else:
         taught = F.broadcast(picked.select(F.xxhash64("text").alias("__digest"), F.lit(True).alias("taught")).distinct())
         scores = scores.join(taught, "__digest", "left").withColumn("taught", F.coalesce("taught", F.lit(False)))
-    limits = thresholds(written(scores, f"{folder}/scores"), upper, reach, short)
+    limits = thresholds(written(scores, f"{folder}/scores"), upper, reach, short, folder)
     known = [x for lang, m in limits.items() if lang is not None for x in (F.lit(lang), F.lit(float(m)))]
     overall = F.lit(float(limits.get(None, "inf")))
     most = F.coalesce(F.create_map(*known)[F.col("lang")], overall) if known else overall

@@ -12,6 +12,7 @@ import public_tokenizers as P
 import pytest
 import xxhash
 from groundwork.llm import bpe, components, host_rules, mixing, pii, quality_model, sharding, simhash, token_counts, toxicity, vector_dedup
+from groundwork.llm.common import written
 from groundwork.llm.queries import byte_codec
 from pyspark.sql import functions as F
 
@@ -566,6 +567,25 @@ def test_pipeline_stage_learns_from_all_trusted_texts(spark, tmp_path, monkeypat
     assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).where("doc_id < 80").count() == 80
 
 
+def test_thresholds_are_exact_quantiles_of_all_judges(spark, tmp_path):
+    """Of more rows than a summary keeps, dealt anyhow; ties, a null language and one with few judges."""
+    rows = spark.range(150_000).selectExpr(
+        "case when id % 50 = 0 then null when id % 1801 = 1 then 'ru' else 'en' end as lang", "xxhash64(id) as __digest", "id % 900 + 1 as n",
+        "if(id % 11 = 0, 1.5D, 1 + pmod(xxhash64(id, 'x'), 1000000007) / 1e9D) + 3 / sqrt(id % 900 + 1) as nats", "id % 5 <> 1 as taught",
+    )
+    scores = written(rows.repartition(23), str(tmp_path / "scores"))
+    got = quality_model.thresholds(scores, 0.998, 6.0, 3.0, str(tmp_path))
+    x = [(r["lang"], r["nats"] - 3 / np.sqrt(r["n"]), r["taught"]) for r in scores.collect()]
+    at = lambda v, of_1000: sorted(v)[-(-of_1000 * len(v) // 1000) - 1]
+    want = {lang: at([v for la, v, taught in x if not taught and lang in (None, la)], 998) for lang in (None, "en")}
+    few, every = [v for la, v, taught in x if la == "ru" and not taught], [v for _, v, _ in x]
+    assert 0 < len(few) < quality_model.LEAST_JUDGES
+    want["ru"] = max(max(few) + 6 * (at(every, 900) - at(every, 500)) / len(few) ** 0.5, want[None])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert quality_model.thresholds(scores.where("taught"), 0.998, 6.0, 3.0, str(tmp_path / "t")) == {}
+    assert quality_model.thresholds(scores.where("false"), 0.998, 6.0, 3.0, str(tmp_path / "f")) == {}
+
+
 def test_document_scores_against_a_plain_model(spark, tmp_path, monkeypatch):
     """Whole texts, blocks of every kind, characters far beyond the basic plane, repeated rows; not read from files."""
     monkeypatch.setattr(quality_model, "BLOCKS", ((0, 8), (64, 3), (256, 2), (2048, 1)))
