@@ -2,8 +2,11 @@
 
 import math
 import os
+import random
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from groundwork.plans import queries as plans
 
@@ -46,3 +49,23 @@ def test_same_rows_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+def test_near_dup_pairs_are_among_all_documents(spark, tmp_path):
+    """Near documents of other sources and lengths, without a source, without a text; white space as in the SQL."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randrange(2, 7)))
+    base = [", ".join(word() for _ in range(rnd.choice([3, 12, 20, 60]))) for _ in range(40)]
+    texts = [t for b in base for t in (b, b + " " + word(), b[3:].replace(",", rnd.choice([",", "\x0b", " ", "\r"]), 2), "yes, " + b * 2)]
+    texts += [None, None, "", " \n", "a", "a ", "\x0b", "12" * 60, "12" * 600]
+    docs = pa.table({"doc_id": range(len(texts)), "text": texts, "source": [rnd.choice(["x", "y", None]) for _ in texts], "n_chars": [None if t is None else len(t) for t in texts]})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    want = con.execute(plans.SQL["near_dup_pairs"])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    got = plans.QUERIES["near_dup_pairs"](spark, str(tmp_path))
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want)
+    n, last = docs["n_chars"].to_pylist(), len(texts) - 1
+    assert (last - 1, last) in want and sum(n[a] is not None and n[a] // 100 != n[b] // 100 for a, b in want) > 20
