@@ -6,23 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merged(rows: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+def merged(rows: DataFrame, key: str, start: str = "start", end: str = "end", whole: bool = True) -> DataFrame:
     """Unions of each key's intervals; ends in the month before a start are adjacent and join.
 
-    Ends before starts are turned round; rows without a start are left out.
+    Ends before starts are turned round; rows without a start or an end are left out. Without
+    ``whole`` rows are taken as they are, and those that lack a start or an end come last.
     """
-    s, e = F.least(start, end), F.greatest(start, end)
-    w = Window.partitionBy(key).orderBy("s", "e")
-    rows = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(key, s.alias("s"), e.alias("e"))
+    s, e = (F.least(start, end), F.greatest(start, end)) if whole else (F.col(start), F.col(end))
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
+    if whole:
+        rows = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    rows = rows.select(key, s.alias("s"), e.alias("e"))
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.coalesce(F.col("s") > reach + 1, F.lit(True)).cast("int"))
+    rows = rows.withColumn("__new", (reach.isNull() | F.coalesce(F.col("s") > reach + 1, F.lit(False))).cast("int"))
     rows = rows.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy(key, "__run").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("__run")
 
 
-def union_months(rows: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+def union_months(rows: DataFrame, key: str, start: str = "start", end: str = "end", whole: bool = True) -> DataFrame:
     """months: total of the union; years: rounded half to even, one at least."""
-    total = merged(rows, key, start, end).groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).cast("long").alias("months"))
+    total = merged(rows, key, start, end, whole).groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).cast("long").alias("months"))
     return total.withColumn("years", F.greatest(F.lit(1), F.bround(F.col("months") / 12).cast("long")))
 
 

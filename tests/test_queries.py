@@ -69,3 +69,20 @@ def test_near_dup_pairs_are_among_all_documents(spark, tmp_path):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want)
     n, last = docs["n_chars"].to_pylist(), len(texts) - 1
     assert (last - 1, last) in want and sum(n[a] is not None and n[a] // 100 != n[b] // 100 for a, b in want) > 20
+
+
+def test_interval_union_months_of_odd_orders(spark, tmp_path):
+    """Orders without a key, customer or date, and keys below zero, as in the SQL on one thread, where equal intervals keep one order."""
+    rnd = random.Random(6)
+    day = lambda: f"{rnd.randrange(1995, 2000)}-{rnd.randrange(1, 13):02d}-03"
+    values = [f"({rnd.choice(['null', rnd.randrange(-40, 40)])}, {rnd.choice(['null', 1, 2, 3, *range(4, 40)])}, {rnd.choice(['null', repr(day()), repr(day())])})" for _ in range(150)]
+    values += ["(1, 100, null)", "(null, 101, '1995-01-03')", "(-5, 102, '1996-01-03')", "(6, 102, '1996-01-03')"]
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"copy (select k::bigint as o_orderkey, c::bigint as o_custkey, d::timestamp as o_orderdate from (values {', '.join(values)}) t(k, c, d)) to '{tmp_path}/orders.parquet' (format parquet)")
+    con.execute(f"create view orders as select * from read_parquet('{tmp_path}/orders.parquet')")
+    want = con.execute(plans.SQL["interval_union_months"])
+    names = [d[0] for d in want.description]
+    want = want.fetchall()
+    got = plans.QUERIES["interval_union_months"](spark, str(tmp_path))
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want)
+    assert {(100, None, 1), (101, None, 1), (102, -3, 1)} <= set(want)
